@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import general
+from . import contigs, general, reads
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **reads.QUERIES, **contigs.QUERIES}
+SQL = {**general.SQL, **reads.SQL, **contigs.SQL}
