@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contigs, general, reads
+from . import contigs, general, io, reads
 
-QUERIES = {**general.QUERIES, **reads.QUERIES, **contigs.QUERIES}
-SQL = {**general.SQL, **reads.SQL, **contigs.SQL}
+QUERIES = {**general.QUERIES, **reads.QUERIES, **contigs.QUERIES, **io.QUERIES}
+SQL = {**general.SQL, **reads.SQL, **contigs.SQL, **io.SQL}

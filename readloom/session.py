@@ -23,16 +23,18 @@ def get_spark(cores: int | str = 8, app: str = "readloom", memory: str = "8g") -
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it from there.
-
-    The folder is the one of ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder of
-    this machine is taken. The copy is on shared storage, so a lost executor costs a task and not the result.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for intermediate data: ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
+    a folder of this machine is taken."""
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there, so that a lost executor costs a task and not the
+    result, and plans of loops stay short."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
