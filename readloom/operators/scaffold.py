@@ -47,6 +47,9 @@ def paths(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     rc = cut(contigs.select("edge_id", "rc_id").filter("rc_id is not null").dropDuplicates())
     joined = cut(greedy(pairs))
     rings = graph.list_positions(_follows(joined, rc)).filter("is_cycle").select("id", "head")
+    rings = cut(rings)
+    other = rings.toDF("rc_id", "rc_head").join(rc, "rc_id").select(F.col("edge_id").alias("id"), "rc_head")
+    rings = rings.join(other, "id").select("id", F.least("head", "rc_head").alias("head"))  # both strands are one ring
     weakest = joined.join(rings, joined["a"] == rings["id"]).groupBy("head").agg(F.min(F.struct("n", "a", "b")).alias("w")).select("w.a", "w.b")
     joined = cut(joined.join(weakest, ["a", "b"], "left_anti"))
     pos = graph.list_positions(_follows(joined, rc)).filter("not is_cycle")
