@@ -103,4 +103,4 @@ def reached(mix: DataFrame, sizes: DataFrame) -> DataFrame:
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count(F.lit(1)).alias("used_docs"), F.max("repeats").alias("most_repeats"))
     all_used = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))
     out = sizes.join(used, "source", "left").na.fill({"used_tokens": 0, "used_docs": 0, "most_repeats": 0})
-    return out.select("source", "target_share", F.coalesce(F.col("used_tokens") / all_used, F.lit(0.0)).alias("actual_share"), "tokens", "used_tokens", "used_docs", "most_repeats")
+    return out.select("source", "target_share", F.coalesce(F.try_divide(F.col("used_tokens"), all_used), F.lit(0.0)).alias("actual_share"), "tokens", "used_tokens", "used_docs", "most_repeats")

@@ -91,6 +91,16 @@ def p8_shares(s: SparkSession, d: str) -> DataFrame:
     return mixing.reached(mixing.mixture(counted, targets), mixing.source_sizes(counted, targets))
 
 
+def p8_temperature(s: SparkSession, d: str) -> DataFrame:
+    """The weights at the least exponent that uses as many tokens as all documents have."""
+    from ..session import cut
+
+    counted, targets = cut(_counted(s, d)), table(s, d, "mix_targets")
+    sizes = mixing.source_sizes(counted, targets).collect()  # one row per source
+    rows = mixing.plan([(r["source"], r["tokens"], r["target_share"], r["max_repeats"]) for r in sizes], budget=sum(r["tokens"] for r in sizes))
+    return s.createDataFrame(rows, "source string, tokens long, target_share double, max_repeats int, weight double, quota double")
+
+
 def p9_found(s: SparkSession, d: str) -> DataFrame:
     return residue.flagged(table(s, d, "documents", "doc_id", "text"))
 
@@ -103,7 +113,7 @@ def p9_templates(s: SparkSession, d: str) -> DataFrame:
     return residue.aligned(table(s, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p4_found, p4_shared, p6_found, p6_estimates, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_sites, p9_templates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p4_found, p4_shared, p6_found, p6_estimates, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_temperature, p9_found, p9_sites, p9_templates)}
 
 _SETS = """
 with m as (
