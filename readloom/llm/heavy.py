@@ -102,7 +102,7 @@ def heavy_values(values: DataFrame, share: float, width: int = 4096) -> DataFram
     found = cells.filter(F.col("surplus") > 0).join(F.broadcast(total), "src").filter(F.col("total") + F.col("surplus") >= 2 * F.lit(share) * F.col("n_rows"))
     found = found.select("src", F.col("candidate").alias("val"), "n_rows").distinct()
     places = found.select("src", "val", "n_rows", F.posexplode(F.array(*_places(F.col("val"), width))).alias("depth", "cell"))
-    placed = places.join(F.broadcast(cells), ["src", "depth", "cell"])
+    placed = cells.join(F.broadcast(places), ["src", "depth", "cell"])  # DEPTH rows per candidate
     mine = F.col("candidate") == F.col("val")
     bounds = placed.groupBy("src", "val", "n_rows").agg(
         F.max(F.when(mine, F.col("top")).otherwise(0)).alias("lower"),
