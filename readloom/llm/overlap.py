@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HASH_BITS = 20
+FEW_SETS = 200_000
+
+
+def _per_set(rows: DataFrame, sets: DataFrame, on: str = "edge") -> DataFrame:
+    """``rows`` with the columns of their set. Few sets, counted here, are broadcast, so that a set with a third of all
+    memberships stays where it is; more sets than that are joined by a shuffle, which adaptive execution may split, as
+    a set is one row of its side."""
+    return rows.join(F.broadcast(sets) if sets.count() <= FEW_SETS else sets, on)
 
 
 def sampled_overlaps(members: DataFrame, sizes: DataFrame, share: float, sample: int = 4096, rest: float = 0.15, common: int = 64, z: float = 4.0) -> DataFrame:
@@ -31,7 +39,8 @@ def sampled_overlaps(members: DataFrame, sizes: DataFrame, share: float, sample:
     least = sizes.filter(~small).agg(F.min("n")).first()[0]
     rate_log = max(0, min(HASH_BITS, (int(least) // sample).bit_length() - 1)) if least else 0
     below = F.shiftrightunsigned(F.xxhash64("key"), 64 - HASH_BITS) < (1 << (HASH_BITS - rate_log))
-    rows = members.filter(F.col("key").isNotNull() & F.col("edge").isNotNull()).select("edge", "key").join(sizes.select("edge", small.alias("small")), "edge").withColumn("below", below)
+    rows = members.filter(F.col("key").isNotNull() & F.col("edge").isNotNull()).select("edge", "key")
+    rows = _per_set(rows, sizes.select("edge", small.alias("small"))).withColumn("below", below)
     sampled = rows.filter("small or below")
     if rate_log:  # large sets keep what the small ones have
         wanted = rows.filter("small and not below").select("key").distinct()
@@ -47,8 +56,8 @@ def sampled_overlaps(members: DataFrame, sizes: DataFrame, share: float, sample:
         marked.groupBy("edge").agg(size.alias("n"), F.count(F.lit(1)).alias("kept"), F.first("small").alias("small"), F.count(F.when(F.col("hot"), 1)).alias("n_hot"), F.collect_list(F.when(F.col("hot"), F.struct("key", "below"))).alias("hot_keys"))
     )
     side = per_set.select("edge", "n", "small", (F.col("n_hot") <= rest * F.col("kept")).alias("drops"))
-    right = kept.join(side, "edge")
-    left = marked.join(side.drop("small"), "edge").filter(~(F.col("hot") & F.col("drops")))
+    right = _per_set(kept.drop("small"), side)
+    left = _per_set(marked, side.drop("small")).filter(~(F.col("hot") & F.col("drops")))
     a = left.select("key", F.col("edge").alias("a"), F.col("n").alias("na"), F.col("small").alias("sa"), F.col("drops").alias("da"), "below")
     b = right.select("key", F.col("edge").alias("b"), F.col("n").alias("nb"))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
@@ -81,7 +90,7 @@ def overlapping(members: DataFrame, sizes: DataFrame, share: float, **how) -> Da
     sure = got.filter((F.col("low") >= edge) | F.col("exact")).select("e1", "e2")
     open_pairs = got.filter(~((F.col("low") >= edge) | F.col("exact"))).select("e1", "e2")
     named = open_pairs.select(F.explode(F.array("e1", "e2")).alias("edge")).distinct()
-    rows = members.filter(F.col("key").isNotNull()).join(named, "edge", "left_semi").select("edge", "key").distinct()
+    rows = _per_set(members.filter(F.col("key").isNotNull()), cut(named)).select("edge", "key").distinct()
     n = rows.groupBy("edge").agg(F.count(F.lit(1)).alias("n"))
     hits = rows.join(open_pairs.withColumnRenamed("e1", "edge"), "edge").withColumnRenamed("edge", "e1")
     hits = hits.join(rows.withColumnRenamed("edge", "e2"), ["e2", "key"]).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("shared"))
