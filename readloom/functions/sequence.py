@@ -21,9 +21,8 @@ def canonical(kmer: Column) -> Column:
 
 def encode_base(seq: Column, base: int, alphabet: str) -> Column:
     """Integer of a sequence, first letter most significant; null if a letter isn't of the alphabet."""
-    letters = F.split(seq, "")
-    value = F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: a * base + letter_code(c, alphabet))
-    return F.when(seq.rlike(f"^[{alphabet}]+$"), value)
+    digits = F.translate(seq, alphabet, "01234"[: len(alphabet)])
+    return F.when(seq.rlike(f"^[{alphabet}]+$"), F.conv(digits, base, 10).cast("long"))
 
 
 def letter_code(c: Column, alphabet: str) -> Column:
@@ -55,13 +54,8 @@ def from_two_bit(code: Column, n: int) -> Column:
 
 
 def _digits(code: Column, n: int, base: int, alphabet: str) -> Column:
-    letter = lambda i: F.substring(F.lit(alphabet), (_quotient(code, base**i) % base + 1).cast("int"), F.lit(1))
-    return F.when(code >= 0, F.concat(*[letter(i) for i in range(n - 1, -1, -1)]))
-
-
-def _quotient(code: Column, by: int) -> Column:
-    """Whole-number division; the / operator would go through doubles."""
-    return F.call_function("div", code, F.lit(by).cast("long"))
+    digits = F.lpad(F.conv(code.cast("string"), 10, base), n, "0")
+    return F.when(code >= 0, F.translate(digits, "01234"[: len(alphabet)], alphabet))
 
 
 def tag(info: Column, name: str) -> Column:

@@ -87,15 +87,15 @@ def list_positions(follows: DataFrame) -> DataFrame:
     most per id. Pointer doubling: after round r every id knows who stands 2^r places before it. An id on a cycle has
     the cycle's least id as head and no place (pos -1)."""
     now = cut(follows.select("id", F.col("prev").alias("jump"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("pos"), F.coalesce(F.least("id", "prev"), F.col("id")).alias("low"), F.coalesce("prev", "id").alias("head")))
-    total = now.count()
-    step = 1
+    last = None
     while True:
-        open_ids = now.filter("jump is not null").limit(1).count()
-        if not open_ids or step > 2 * total:
+        # each round ends some open list as long as there is one; then the least ids of rings still have to settle
+        left = now.filter("jump is not null").agg(F.count(F.lit(1)), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()
+        if not left[0] or left == last:
             break
+        last = left
         to = now.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("pos").alias("pos2"), F.col("low").alias("low2"), F.col("head").alias("head2"))
         now = cut(now.join(to, "jump", "left").select("id", F.col("jump2").alias("jump"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.coalesce("head2", "head").alias("head")))
-        step *= 2
     cycle = F.col("jump").isNotNull()
     return now.select("id", F.when(cycle, F.col("low")).otherwise(F.col("head")).alias("head"), F.when(cycle, -1).otherwise(F.col("pos")).cast("long").alias("pos"), cycle.alias("is_cycle"))
 
@@ -235,3 +235,39 @@ def simplify(contigs: DataFrame, rounds: int = 10) -> DataFrame:
             break
         now = cut(now.join(gone, "edge_id", "left_anti"))
     return now
+
+
+def path_counts(contigs: DataFrame, anchors: int = 4000, middle: int = 3000, hops: int = 3, most: int = 4000) -> DataFrame:
+    """(src, des, n_paths): different ways over at most ``hops`` contigs shorter than ``middle`` between contigs of
+    ``anchors`` or more, within ``most`` inserted bases. Ways that put in equally many bases over equally many contigs
+    and end at the same node are added up round by round, so paths are counted without being listed."""
+    e = cut(edges(contigs).select("edge_id", "rc_id", "u", "v", "seq_len", "k"))
+    far = e.filter(F.col("seq_len") >= anchors)
+    inner = e.filter(F.col("seq_len") < middle).select("u", F.col("v").alias("v2"), (F.col("seq_len") - F.col("k")).cast("long").alias("add"))
+    reach = far.select(F.col("edge_id").alias("src"), F.col("rc_id").alias("src_rc"), F.col("v").alias("u"), F.lit(0).cast("long").alias("inserted"), F.lit(1).cast("long").alias("n"))
+    found = reach
+    for _ in range(hops):
+        step = reach.join(inner, "u").withColumn("inserted", F.col("inserted") + F.col("add")).filter(F.col("inserted") <= most)
+        reach = cut(step.groupBy("src", "src_rc", F.col("v2").alias("u"), "inserted").agg(F.sum("n").alias("n")))
+        found = found.unionByName(reach)
+    to = found.join(far.select("u", F.col("edge_id").alias("des")), "u").filter("des <> src and not (des <=> src_rc)")
+    return to.groupBy("src", "des").agg(F.sum("n").alias("n_paths"))
+
+
+def bulges(contigs: DataFrame, longest: int = 1000, low: float = 0.8, high: float = 1.2) -> DataFrame:
+    """(edge_id, n_edges, length): edges up to ``longest`` beside another way of two or three edges between the same
+    nodes whose length, overlaps taken off, is ``low`` to ``high`` times theirs; the way with fewest edges, then the
+    shortest. The other way doesn't use the edge itself."""
+    e = cut(edges(contigs).select("edge_id", "u", "v", "seq_len", "k"))
+    x = e.filter(F.col("seq_len") <= longest).select(F.col("edge_id").alias("x"), F.col("u").alias("xu"), F.col("v").alias("xv"), F.col("seq_len").alias("xl"))
+    short = e.filter(F.col("seq_len") <= high * longest)
+    way = x.join(short, x["xu"] == short["u"]).filter("edge_id <> x").select("x", "xv", "xl", F.col("v").alias("at"), F.col("seq_len").cast("long").alias("length"))
+    found = None
+    for n in (2, 3):
+        nxt = short.select(F.col("u").alias("at"), F.col("v").alias("to"), "edge_id", (F.col("seq_len") - F.col("k")).alias("add"))
+        way = way.join(nxt, "at").filter("edge_id <> x").select("x", "xv", "xl", F.col("to").alias("at"), (F.col("length") + F.col("add")).alias("length")).filter(F.col("length") <= high * F.col("xl"))
+        way = cut(way.distinct())
+        hit = way.filter((F.col("at") == F.col("xv")) & (F.col("length") >= low * F.col("xl"))).select("x", F.lit(n).alias("n_edges"), "length")
+        found = hit if found is None else found.unionByName(hit)
+    best = found.groupBy("x").agg(F.min(F.struct("n_edges", "length")).alias("m"))
+    return best.select(F.col("x").alias("edge_id"), F.col("m.n_edges").alias("n_edges"), F.col("m.length").alias("length"))

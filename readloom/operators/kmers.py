@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .reads import spread
 
 CAP = 999
 
 
 def read_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     """(*keep, kmer): every k-mer of every distinct read row. Short, empty and null reads have none."""
-    r = reads.select("read_id", "mate", "seq").dropDuplicates()
+    r = spread(reads)
     return r.select(*keep, F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).filter(S.is_acgt(F.col("kmer")))
 
 

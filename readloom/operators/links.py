@@ -192,3 +192,37 @@ def repeat_partners(links: DataFrame, repeats: DataFrame) -> DataFrame:
     d = latest_counts(links)
     r = repeats.select("edge_id", "copies").dropDuplicates()
     return d.join(r, d["e2"] == r["edge_id"]).groupBy("edge_id", "copies").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("n_read").alias("n_read"))
+
+
+def barcode_hits(pieces: DataFrame, confident: float = 0.85) -> DataFrame:
+    """(key, n_edges, n_hits, best, is_sure): contigs per barcode of the L1 sets. ``best`` has most counts, the least id
+    at ties; it is sure where it has ``confident`` of all counts, or where there are at most two contigs."""
+    m = members(pieces, "L1")
+    g = m.groupBy("key").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("cnt").cast("long").alias("n_hits"), F.max(F.struct("cnt", (-F.col("edge")).alias("e"))).alias("top"))
+    sure = (F.col("n_edges") <= 2) | (F.col("top.cnt") >= confident * F.col("n_hits"))
+    return g.select("key", "n_edges", "n_hits", (-F.col("top.e")).alias("best"), sure.alias("is_sure"))
+
+
+def at_pairs(pairs: DataFrame, m: DataFrame) -> DataFrame:
+    """``pairs(e1, e2)`` with n, the barcodes that both sets have. Sets meet at the given pairs only."""
+    pairs = pairs.select("e1", "e2").distinct()
+    hits = pairs.join(m.select(F.col("edge").alias("e1"), "key"), "e1").join(m.select(F.col("edge").alias("e2"), "key"), ["e2", "key"]).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(hits, ["e1", "e2"], "left").select("e1", "e2", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def adjacent_support(pieces: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(e1, e2, n): shared L1 barcodes of contigs that meet at a node, end to start."""
+    e = contigs.select("edge_id", "node_from", "node_to").dropDuplicates()
+    pairs = e.select(F.col("edge_id").alias("e1"), F.col("node_to").alias("node")).join(e.select(F.col("edge_id").alias("e2"), F.col("node_from").alias("node")), "node").filter("e1 <> e2")
+    return at_pairs(pairs, members(pieces, "L1").select("edge", "key"))
+
+
+def crossing_support(crossings: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(edge_id, straight, crossed, verdict): shared barcodes of the legs of a two-in two-out repeat, paired high with
+    high and low with low, or high with low. The verdict needs more than twice the other pairing's on both legs
+    together, else it is ``open``."""
+    c = crossings.select("edge_id", F.explode(F.array(*[F.struct(F.col(f"in_{a}").alias("e1"), F.col(f"out_{b}").alias("e2"), F.lit(a == b).alias("straight")) for a in ("high", "low") for b in ("high", "low")])).alias("x")).select("edge_id", "x.*")
+    n = at_pairs(c, members(pieces, "L1").select("edge", "key"))
+    g = c.join(n, ["e1", "e2"]).groupBy("edge_id").agg(F.sum(F.when(F.col("straight"), F.col("n")).otherwise(0)).alias("straight"), F.sum(F.when(~F.col("straight"), F.col("n")).otherwise(0)).alias("crossed"))
+    verdict = F.when(F.col("straight") > 2 * F.col("crossed"), "straight").when(F.col("crossed") > 2 * F.col("straight"), "crossed").otherwise("open")
+    return g.withColumn("verdict", verdict)

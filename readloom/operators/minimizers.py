@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .reads import spread
 
 
 def of_sequences(reads: DataFrame, k: int, w: int) -> DataFrame:
     """(read_id, mate, p, kmer): the least k-mer, by its MD5, of each window of w neighbouring k-mers; the first one at
     ties. A sequence with fewer than w k-mers is one window. k-mers with N take part in no window's minimum."""
-    r = reads.select("read_id", "mate", "seq").dropDuplicates().select("read_id", "mate", S.kmers(F.col("seq"), k).alias("km"))
+    r = spread(reads).select("read_id", "mate", S.kmers(F.col("seq"), k).alias("km"))
     r = r.withColumn("n", F.size("km")).filter("n > 0")
     marked = F.transform("km", lambda x, i: F.when(S.is_acgt(x), F.struct(F.md5(x).alias("h"), (i + 1).alias("p"), x.alias("kmer"))))
     r = r.withColumn("marked", marked)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..session import shuffle_width
 
 INLINE_BARCODE, INLINE_UMI = 16, 7
 
@@ -15,6 +16,13 @@ def clean(reads: DataFrame) -> DataFrame:
     return reads.dropDuplicates()
 
 
+def spread(reads: DataFrame) -> DataFrame:
+    """(read_id, mate, seq) without repeats, over all shuffle partitions: small files would stay in a few tasks, and each
+    read becomes a hundred rows in what follows. The rows are shuffled once, by their key."""
+    n = shuffle_width(reads.sparkSession)
+    return reads.select("read_id", "mate", "seq").repartition(n, "read_id", "mate").dropDuplicates()
+
+
 def reverse_complements(reads: DataFrame) -> DataFrame:
     """(read_id, mate, rc): null for a null sequence, empty for an empty one."""
     return clean(reads.select("read_id", "mate", "seq")).select("read_id", "mate", S.revcomp(F.col("seq")).alias("rc"))
@@ -100,3 +108,15 @@ def reads_of_sets(records: DataFrame, members: DataFrame) -> DataFrame:
 
 def barcode_counts(records: DataFrame) -> DataFrame:
     return tagged(records.select("rec_id", "barcode")).dropDuplicates().groupBy("barcode").agg(F.count(F.lit(1)).alias("n"))
+
+
+def local_reads(reads: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(e1, e2, n_reads, n_bases): reads whose tagged barcode is in the set of either contig of a pair, for a local
+    assembly of the gap between them. Reads are summed up per barcode before they meet the pairs' sets."""
+    r = barcode_tags(reads).filter("code is not null").select("read_id", "mate", "code")
+    size = clean(reads.select("read_id", "mate", "seq")).select("read_id", "mate", F.coalesce(F.length("seq"), F.lit(0)).alias("bases"))
+    per = r.join(size, ["read_id", "mate"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("bases").alias("bases"))
+    m = members.select("edge", "key").distinct()
+    sets = pairs.select("e1", "e2", F.explode(F.array("e1", "e2")).alias("edge")).join(m, "edge").select("e1", "e2", "key").distinct()
+    got = sets.join(per, sets["key"] == per["code"]).groupBy("e1", "e2").agg(F.sum("n").alias("n_reads"), F.sum("bases").alias("n_bases"))
+    return pairs.select("e1", "e2").join(got, ["e1", "e2"], "left").na.fill({"n_reads": 0, "n_bases": 0})

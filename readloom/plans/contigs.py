@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import contigs, graph, links, scaffold
+from ..operators import contigs, graph, links, reads, scaffold
 from ..sources.tables import table
 
 LEAST = 13  # shared barcodes of a pair
@@ -74,6 +74,12 @@ QUERIES = {
     "bfs_levels": lambda s, d: graph.bfs(_contigs(s, d)),
     "neighbourhood": lambda s, d: graph.neighbourhood(_contigs(s, d)),
     "shortest_paths": lambda s, d: graph.shortest_paths(_contigs(s, d)),
+    "path_counts": lambda s, d: graph.path_counts(_contigs(s, d)),
+    "graph_bulges": lambda s, d: graph.bulges(_contigs(s, d)),
+    "barcode_hits": lambda s, d: links.barcode_hits(_sets(s, d)),
+    "adjacent_support": lambda s, d: links.adjacent_support(_sets(s, d), _contigs(s, d)),
+    "crossing_support": lambda s, d: links.crossing_support(graph.crossings(_contigs(s, d)), _sets(s, d)),
+    "local_reads": lambda s, d: reads.local_reads(table(s, d, "seq_reads"), links.mutual_best(_shared(s, d)), links.members(_sets(s, d), "L1")),
     "scaffold_paths": _scaffolds,
     "scaffold_summary": lambda s, d: scaffold.summary(_scaffolds(s, d), _contigs(s, d)),
     "scaffold_bridges": lambda s, d: scaffold.bridges(_scaffolds(s, d), _contigs(s, d)),
@@ -105,6 +111,12 @@ _LINKED = """meet as (select e.edge_id as a, f.edge_id as b from e join e f on e
 adj as (select a, b from meet union select b, a from meet)"""
 _REACH = f"with recursive {_C}, {_LINKED}, reach as (select edge_id as id, edge_id as r from e union select adj.b as id, reach.r from reach join adj on adj.a = reach.id where reach.r < adj.b), comp as (select id as edge_id, min(r) as root from reach where id in (select edge_id from e) group by 1)"
 
+_CROSS = """w as (select * from e where cov is not null),
+      i as (select v as node, count(*) as n, arg_max(edge_id, (cov, -edge_id)) as hi, arg_min(edge_id, (cov, -edge_id)) as lo, max(cov) as ch, min(cov) as cl from w group by 1),
+      o as (select u as node, count(*) as n, arg_max(edge_id, (cov, -edge_id)) as hi, arg_min(edge_id, (cov, -edge_id)) as lo, max(cov) as ch, min(cov) as cl from w group by 1),
+      x as (select w.edge_id, i.hi as in_high, i.lo as in_low, o.hi as out_high, o.lo as out_low, i.ch > 1.7::double * i.cl and o.ch > 1.7::double * o.cl and least(i.ch, o.ch) >= 0.8::double * greatest(i.ch, o.ch) and least(i.cl, o.cl) >= 0.8::double * greatest(i.cl, o.cl) as resolved
+      from w join deg x on x.node = w.u and x.n_in = 2 and x.n_out = 1 join deg y on y.node = w.v and y.n_in = 1 and y.n_out = 2 join i on i.node = w.u and i.n = 2 join o on o.node = w.v and o.n = 2)"""
+
 SQL = {
     "contig_lengths": f"with {_C} select edge_id, full_len, coalesce(list_sum(list_transform(list_filter(holes, lambda h: h.pos < 5000), lambda h: h.len)), 0)::int as head_hole from e",
     "contig_coverage": f"with {_C} select edge_id, round(cov, 6) as cov from e",
@@ -167,11 +179,29 @@ SQL = {
     "graph_loops": f"""with {_C} select edge_id, 'self' as kind from e where u = v union select a.edge_id, 'rc' from e a join e b on a.rc_id = b.edge_id where a.v = b.u and a.u <> a.v
       union select a.edge_id, 'two' from e a join e b on a.v = b.u and a.u = b.v where a.u <> a.v""",
     "graph_bubbles": f"with {_C} select u, v, arg_max(edge_id, seq_len::hugeint * 10000000000000 - edge_id) as kept, count(*) as n, sum(coalesce(cnt, 0))::bigint as cnt from e group by 1, 2 having count(*) > 1",
-    "graph_crossings": f"""with {_C}, {_DEG}, w as (select * from e where cov is not null),
-      i as (select v as node, count(*) as n, arg_max(edge_id, (cov, -edge_id)) as hi, arg_min(edge_id, (cov, -edge_id)) as lo, max(cov) as ch, min(cov) as cl from w group by 1),
-      o as (select u as node, count(*) as n, arg_max(edge_id, (cov, -edge_id)) as hi, arg_min(edge_id, (cov, -edge_id)) as lo, max(cov) as ch, min(cov) as cl from w group by 1)
-      select w.edge_id, i.hi as in_high, i.lo as in_low, o.hi as out_high, o.lo as out_low, i.ch > 1.7::double * i.cl and o.ch > 1.7::double * o.cl and least(i.ch, o.ch) >= 0.8::double * greatest(i.ch, o.ch) and least(i.cl, o.cl) >= 0.8::double * greatest(i.cl, o.cl) as resolved
-      from w join deg x on x.node = w.u and x.n_in = 2 and x.n_out = 1 join deg y on y.node = w.v and y.n_in = 1 and y.n_out = 2 join i on i.node = w.u and i.n = 2 join o on o.node = w.v and o.n = 2""",
+    "graph_crossings": f"with {_C}, {_DEG}, {_CROSS} select * from x",
+    "crossing_support": f"""with {_C}, {_DEG}, {_CROSS}, {_M}, l1 as (select edge, key from m where kind = 'L1'),
+      leg as (select edge_id, in_high as e1, out_high as e2, true as st from x union all select edge_id, in_low, out_low, true from x union all select edge_id, in_high, out_low, false from x union all select edge_id, in_low, out_high, false from x),
+      n as (select edge_id, e1, e2, st, (select count(*) from l1 a join l1 b on a.key = b.key where a.edge = e1 and b.edge = e2) as n from leg),
+      g as (select edge_id, sum(case when st then n else 0 end)::bigint as straight, sum(case when not st then n else 0 end)::bigint as crossed from n group by 1)
+      select *, case when straight > 2 * crossed then 'straight' when crossed > 2 * straight then 'crossed' else 'open' end as verdict from g""",
+    "adjacent_support": f"""with {_C}, {_M}, l1 as (select edge, key from m where kind = 'L1'), p as (select distinct a.edge_id as e1, b.edge_id as e2 from e a join e b on a.v = b.u and a.edge_id <> b.edge_id),
+      h as (select e1, e2, count(*) as n from p join l1 a on a.edge = e1 join l1 b on b.edge = e2 and a.key = b.key group by 1, 2) select e1, e2, coalesce(n, 0) as n from p left join h using (e1, e2)""",
+    "barcode_hits": f"""with {_M}, g as (select key, count(*) as n_edges, sum(cnt)::bigint as n_hits, max(cnt) as top, arg_max(edge, (cnt, -edge)) as best from m where kind = 'L1' group by 1)
+      select key, n_edges, n_hits, best, n_edges <= 2 or top >= 0.85::double * n_hits as is_sure from g""",
+    "path_counts": f"""with recursive {_C}, far as (select * from e where seq_len >= 4000), inn as (select u, v, seq_len - k as a from e where seq_len < 3000),
+      r as (select edge_id as src, rc_id as src_rc, v as node, 0::bigint as ins, 0 as n from far union all select r.src, r.src_rc, inn.v, r.ins + a, r.n + 1 from r join inn on inn.u = r.node where r.n < 3 and r.ins + a <= 4000)
+      select src, far.edge_id as des, count(*) as n_paths from r join far on far.u = r.node where far.edge_id <> src and far.edge_id is distinct from src_rc group by 1, 2""",
+    "graph_bulges": f"""with {_C}, w2 as (select x.edge_id as x, x.v as xv, x.seq_len as xl, b.v as tip, a.seq_len::bigint + b.seq_len - b.k as l from e x join e a on a.u = x.u and a.edge_id <> x.edge_id and a.seq_len <= 1200 join e b on b.u = a.v and b.edge_id <> x.edge_id and b.seq_len <= 1200
+        where x.seq_len <= 1000 and a.seq_len::bigint + b.seq_len - b.k <= 1.2::double * x.seq_len),
+      w3 as (select x, xv, xl, c.v as tip, l + c.seq_len - c.k as l from w2 join e c on c.u = w2.tip and c.edge_id <> x and c.seq_len <= 1200 where l + c.seq_len - c.k <= 1.2::double * xl),
+      h as (select x, 2 as n, l from w2 where tip = xv and l >= 0.8::double * xl union all select x, 3, l from w3 where tip = xv and l >= 0.8::double * xl)
+      select x as edge_id, min(n) as n_edges, arg_min(l, n * 1000000 + l) as length from h group by 1""",
+    "local_reads": f"""with {_PAIRS}, {_TOP}, mb as (select a.u as e1, b.u as e2 from state a join state b on a.u = b.best and a.best = b.u and a.u < b.u where a.state <> 'tie' and b.state <> 'tie'),
+      r as (select distinct read_id, mate, regexp_extract(info, 'BX:Z:([^ \t]*)', 1) as bx from seq_reads where contains(info, 'BX:Z:')), t as (select read_id, mate, list_reduce(list_concat([0::bigint], list_transform(string_split(bx, ''), lambda c: (instr('ACGTN', c) - 1)::bigint)), lambda a, b: a * 5 + b) as code from r where regexp_full_match(bx, '[ACGTN]{{18}}')),
+      z as (select read_id, mate, coalesce(length(seq), 0) as bases from (select distinct read_id, mate, seq from seq_reads)), per as (select code, count(*) as n, sum(bases) as bases from t join z using (read_id, mate) group by 1),
+      k as (select distinct e1, e2, key from mb join l1 on l1.edge = e1 or l1.edge = e2), g as (select e1, e2, sum(n)::bigint as n_reads, sum(bases)::bigint as n_bases from k join per on per.code = k.key group by 1, 2)
+      select e1, e2, coalesce(n_reads, 0) as n_reads, coalesce(n_bases, 0) as n_bases from mb left join g using (e1, e2)""",
     "bfs_levels": f"""with recursive {_C}, s as (select graph, arg_max(edge_id, seq_len::hugeint * 10000000000000 - edge_id) as edge_id from e group by 1),
       b as (select graph, edge_id, 0 as level from s union select b.graph, f.edge_id, b.level + 1 from b join e on e.edge_id = b.edge_id join e f on f.u = e.v where b.level < 6)
       select graph, edge_id, min(level) as level from b group by 1, 2""",

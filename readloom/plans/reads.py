@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import kmers, links, minimizers, reads
+from ..operators import alignment, kmers, links, minimizers, reads, unitigs
 from ..sources.tables import table
 
 K, SMALL_K, MINIMIZER_K, MINIMIZER_W = 31, 15, 17, 17
@@ -48,6 +48,8 @@ QUERIES = {
     "kmer_support": lambda s, d: kmers.support(_reads(s, d), _slots(s, d)),
     "kmer_missing": lambda s, d: kmers.missing(_reads(s, d), _slots(s, d)),
     "mate_kmer_match": lambda s, d: kmers.mate_match(_reads(s, d), SMALL_K),
+    "unitigs": lambda s, d: unitigs.unitigs(_reads(s, d), K),
+    "similar_reads": lambda s, d: alignment.similar_reads(_reads(s, d)),
     "minimizers": lambda s, d: minimizers.of_sequences(_reads(s, d), MINIMIZER_K, MINIMIZER_W),
     "minimizer_index": lambda s, d: minimizers.index(_local(s, d)),
     "minimizer_index_stats": lambda s, d: minimizers.index_stats(_local(s, d)),
@@ -112,6 +114,16 @@ SQL = {
     "mate_kmer_match": _kmers(SMALL_K, "read_id, mate,")
     + """, c as (select read_id, least(km, rc) as kmer, count(*) filter (mate = 1) as a, count(*) filter (mate = 2) as b from k group by 1, 2)
       select read_id, sum(least(a, b))::bigint as matches from c group by 1 having sum(least(a, b)) > 0""",
+    "unitigs": "with recursive " + _kmers(32)[5:]
+    + """, c as (select least(km, rc) as km from k group by 1 having count(*) >= 2), x2 as (select km from c union select reverse(translate(km, 'ACGT', 'TGCA')) from c),
+      st as (select left(km, 31) as a, right(km, 31) as b from x2), one_out as (select a, min(b) as b from st group by 1 having count(*) = 1), one_in as (select b from st group by 1 having count(*) = 1),
+      f as (select b as id, a as prev from one_out join one_in using (b) where a <> b and reverse(translate(a, 'ACGT', 'TGCA')) <> b), ids as (select a as id from st union select b from st),
+      walk as (select id as head, id as tip, id as seq, 1 as n from ids where id not in (select id from f) union all select head, f.id, seq || right(f.id, 1), n + 1 from walk join f on f.prev = walk.tip),
+      full_run as (select head, arg_max(seq, n) as seq, max(n) as n_kmers from walk group by 1),
+      ring as (select id as head, id as tip, id as seq, 1 as n from f where id not in (select tip from walk) union all select head, f.id, seq || right(f.id, 1), n + 1 from ring join f on f.prev = ring.tip where f.id <> head),
+      ring_run as (select head, arg_max(seq, n) as seq, max(n) as n_kmers, min(tip) as low, min(reverse(translate(tip, 'ACGT', 'TGCA'))) as rc_low from ring group by 1)
+      select distinct least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) as seq, n_kmers::bigint as n_kmers, false as is_cycle from full_run
+      union all select seq, n_kmers::bigint, true from ring_run where head = low and low <= rc_low""",
     "minimizers": f"""{_R}, x as (select read_id, mate, i as p, substr(upper(seq), i::int, 17) as km, length(seq) - 16 as n from r, unnest(range(1, greatest(1, length(seq) - 15))) t(i) where length(seq) >= 17),
       h as (select *, case when regexp_full_match(km, '[ACGT]+') then md5(km) || lpad(p::varchar, 9, '0') end as h from x),
       w as (select *, min(h) over (partition by read_id, mate, n order by p rows between current row and 16 following) as m from h),
