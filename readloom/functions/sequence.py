@@ -72,3 +72,24 @@ def kmers(seq: Column, k: int) -> Column:
 
 def is_acgt(kmer: Column) -> Column:
     return ~F.contains(kmer, F.lit("N")) & kmer.rlike("^[ACGT]+$")
+
+
+def joined(seqs: Column, k: int) -> Column:
+    """Neighbouring contigs of an ordered array as one sequence: each next one without its first k bases, which the one
+    before ends with. A null member makes the result null."""
+    return F.concat(F.element_at(seqs, 1), F.array_join(F.transform(F.slice(seqs, 2, F.size(seqs)), lambda s: F.substring(s, F.lit(k + 1), F.length(s))), ""))
+
+
+def spaced(seqs: Column, n: int = 100) -> Column:
+    """An ordered array of contigs with n N between neighbours."""
+    return F.array_join(seqs, "N" * n)
+
+
+def filled(seq: Column, holes: Column, cap: int | None = None) -> Column:
+    """A sequence with its holes as N; ``cap`` bounds the N of one hole. Holes are in order of pos, the bases before
+    each; without holes the sequence itself."""
+    n = lambda h: F.least(h["len"], F.lit(cap)) if cap else h["len"]
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(holes, i - 1)["pos"])
+    parts = F.transform(holes, lambda h, i: F.concat(F.substring(seq, start(i) + 1, h["pos"] - start(i)), F.repeat(F.lit("N"), n(h))))
+    rest = F.substring(seq, F.element_at(holes, -1)["pos"] + 1, F.length(seq))
+    return F.when(F.size(holes) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(seq)

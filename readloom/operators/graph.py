@@ -271,3 +271,28 @@ def bulges(contigs: DataFrame, longest: int = 1000, low: float = 0.8, high: floa
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy("x").agg(F.min(F.struct("n_edges", "length")).alias("m"))
     return best.select(F.col("x").alias("edge_id"), F.col("m.n_edges").alias("n_edges"), F.col("m.length").alias("length"))
+
+
+def downstream_reach(contigs: DataFrame, hops: int = 4, cap: int = 1000) -> DataFrame:
+    """(edge_id, reach): the most bases that an edge and up to ``hops`` edges after it span, overlaps taken off, at most
+    ``cap``. Small values mark dead ends that a look at one edge doesn't show."""
+    e = cut(edges(contigs).select("edge_id", "u", "v", (F.col("seq_len") - F.col("k")).cast("long").alias("own")))
+    reach = e.select("u", "v", "edge_id", "own", F.col("own").alias("reach"))
+    for _ in range(hops):
+        ahead = reach.groupBy(F.col("u").alias("v")).agg(F.max("reach").alias("more"))
+        reach = cut(e.join(ahead, "v", "left").select("u", "v", "edge_id", "own", F.least(F.lit(cap).cast("long"), F.greatest("own", F.col("own") + F.coalesce("more", F.lit(0).cast("long")))).alias("reach")))
+    return reach.select("edge_id", F.least(F.lit(cap).cast("long"), "reach").alias("reach"))
+
+
+def cyclic_core(contigs: DataFrame) -> DataFrame:
+    """(edge_id): edges left when nodes without edges in or without edges out are peeled off until none is: all edges on
+    rings and on ways from ring to ring. An empty result means that the graph has an order."""
+    e = cut(edges(contigs).select("edge_id", "u", "v"))
+    n = e.count()
+    while n:
+        e = cut(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("edge_id", "u", "v"))
+        e = cut(e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("edge_id", "u", "v"))
+        last, n = n, e.count()
+        if n == last:
+            break
+    return e.select("edge_id")

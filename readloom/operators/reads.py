@@ -110,13 +110,14 @@ def barcode_counts(records: DataFrame) -> DataFrame:
     return tagged(records.select("rec_id", "barcode")).dropDuplicates().groupBy("barcode").agg(F.count(F.lit(1)).alias("n"))
 
 
-def local_reads(reads: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(e1, e2, n_reads, n_bases): reads whose tagged barcode is in the set of either contig of a pair, for a local
-    assembly of the gap between them. Reads are summed up per barcode before they meet the pairs' sets."""
+def local_reads(reads: DataFrame, pairs: DataFrame, members: DataFrame, both: bool = False) -> DataFrame:
+    """(e1, e2, n_reads, n_bases): reads whose tagged barcode is in the set of either contig of a pair, or with ``both``
+    in both sets, for a local assembly of the gap between them. Reads are summed up per barcode before they meet the pairs' sets."""
     r = barcode_tags(reads).filter("code is not null").select("read_id", "mate", "code")
     size = clean(reads.select("read_id", "mate", "seq")).select("read_id", "mate", F.coalesce(F.length("seq"), F.lit(0)).alias("bases"))
     per = r.join(size, ["read_id", "mate"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("bases").alias("bases"))
     m = members.select("edge", "key").distinct()
-    sets = pairs.select("e1", "e2", F.explode(F.array("e1", "e2")).alias("edge")).join(m, "edge").select("e1", "e2", "key").distinct()
+    sets = pairs.select("e1", "e2", F.explode(F.array("e1", "e2")).alias("edge")).join(m, "edge").groupBy("e1", "e2", "key").agg(F.count(F.lit(1)).alias("ends"))
+    sets = sets.filter("ends = 2") if both else sets
     got = sets.join(per, sets["key"] == per["code"]).groupBy("e1", "e2").agg(F.sum("n").alias("n_reads"), F.sum("bases").alias("n_bases"))
     return pairs.select("e1", "e2").join(got, ["e1", "e2"], "left").na.fill({"n_reads": 0, "n_bases": 0})

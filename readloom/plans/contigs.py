@@ -80,6 +80,10 @@ QUERIES = {
     "adjacent_support": lambda s, d: links.adjacent_support(_sets(s, d), _contigs(s, d)),
     "crossing_support": lambda s, d: links.crossing_support(graph.crossings(_contigs(s, d)), _sets(s, d)),
     "local_reads": lambda s, d: reads.local_reads(table(s, d, "seq_reads"), links.mutual_best(_shared(s, d)), links.members(_sets(s, d), "L1")),
+    "shared_reads": lambda s, d: reads.local_reads(table(s, d, "seq_reads"), links.mutual_best(_shared(s, d)), links.members(_sets(s, d), "L1"), both=True),
+    "component_histogram": lambda s, d: graph.component_sizes(_contigs(s, d)).selectExpr("least(floor(bases / 10000), 34) as bin").groupBy("bin").count().withColumnRenamed("count", "n"),
+    "downstream_reach": lambda s, d: graph.downstream_reach(_contigs(s, d)),
+    "cyclic_core": lambda s, d: graph.cyclic_core(_contigs(s, d)),
     "scaffold_paths": _scaffolds,
     "scaffold_summary": lambda s, d: scaffold.summary(_scaffolds(s, d), _contigs(s, d)),
     "scaffold_bridges": lambda s, d: scaffold.bridges(_scaffolds(s, d), _contigs(s, d)),
@@ -202,6 +206,17 @@ SQL = {
       z as (select read_id, mate, coalesce(length(seq), 0) as bases from (select distinct read_id, mate, seq from seq_reads)), per as (select code, count(*) as n, sum(bases) as bases from t join z using (read_id, mate) group by 1),
       k as (select distinct e1, e2, key from mb join l1 on l1.edge = e1 or l1.edge = e2), g as (select e1, e2, sum(n)::bigint as n_reads, sum(bases)::bigint as n_bases from k join per on per.code = k.key group by 1, 2)
       select e1, e2, coalesce(n_reads, 0) as n_reads, coalesce(n_bases, 0) as n_bases from mb left join g using (e1, e2)""",
+    "shared_reads": f"""with {_PAIRS}, {_TOP}, mb as (select a.u as e1, b.u as e2 from state a join state b on a.u = b.best and a.best = b.u and a.u < b.u where a.state <> 'tie' and b.state <> 'tie'),
+      r as (select distinct read_id, mate, regexp_extract(info, 'BX:Z:([^ \t]*)', 1) as bx from seq_reads where contains(info, 'BX:Z:')), t as (select read_id, mate, list_reduce(list_concat([0::bigint], list_transform(string_split(bx, ''), lambda c: (instr('ACGTN', c) - 1)::bigint)), lambda a, b: a * 5 + b) as code from r where regexp_full_match(bx, '[ACGTN]{{18}}')),
+      z as (select read_id, mate, coalesce(length(seq), 0) as bases from (select distinct read_id, mate, seq from seq_reads)), per as (select code, count(*) as n, sum(bases) as bases from t join z using (read_id, mate) group by 1),
+      k as (select e1, e2, key from mb join l1 on l1.edge = e1 or l1.edge = e2 group by 1, 2, 3 having count(*) = 2), g as (select e1, e2, sum(n)::bigint as n_reads, sum(bases)::bigint as n_bases from k join per on per.code = k.key group by 1, 2)
+      select e1, e2, coalesce(n_reads, 0) as n_reads, coalesce(n_bases, 0) as n_bases from mb left join g using (e1, e2)""",
+    "component_histogram": f"{_REACH}, s as (select root, (sum(seq_len) // 2)::bigint as bases from comp join e using (edge_id) group by 1) select least(bases // 10000, 34)::bigint as bin, count(*) as n from s group by 1",
+    "downstream_reach": f"""with recursive {_C}, w as (select edge_id as s, v, (seq_len - k)::bigint as l, 0 as n from e union all select w.s, e.v, w.l + e.seq_len - e.k, w.n + 1 from w join e on e.u = w.v where w.n < 4)
+      select s as edge_id, least(1000, max(l)) as reach from w group by 1""",
+    "cyclic_core": f"""with recursive {_C}, r as (select u as a, v as b from e union select r.a, e.v from r join e on e.u = r.b), ring as (select a as n from r where a = b),
+      after as (select n from ring union select r.b from ring join r on r.a = ring.n), before as (select n from ring union select r.a from ring join r on r.b = ring.n)
+      select edge_id from e where u in (select n from after) and v in (select n from before)""",
     "bfs_levels": f"""with recursive {_C}, s as (select graph, arg_max(edge_id, seq_len::hugeint * 10000000000000 - edge_id) as edge_id from e group by 1),
       b as (select graph, edge_id, 0 as level from s union select b.graph, f.edge_id, b.level + 1 from b join e on e.edge_id = b.edge_id join e f on f.u = e.v where b.level < 6)
       select graph, edge_id, min(level) as level from b group by 1, 2""",
