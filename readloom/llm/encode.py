@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 65_536
 OVERLAP = 512
+ROWS = 1000  # texts encoded at once: at most 64 MB of them
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -50,7 +51,7 @@ def _id_lists(found: list[list[int]]) -> pa.Array:
 def _encode(path: str, key: list[str], counts: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = [enc.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()]
             last = pa.array([len(x) for x in ids], pa.int32()) if counts else _id_lists(ids)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), last], [*key, "ids" if not counts else "n_tokens"])
