@@ -58,7 +58,7 @@ def plan(sources: list[tuple[str, int, float, int]], budget: float | None = None
         budget = min(cap[s] / target[s] for s in target)
     fits = lambda w: all(w[s] * budget <= cap[s] * (1 + 1e-12) for s in w) and (entropy_at_most is None or entropy(w) <= entropy_at_most)
     weights = temperature(natural, target, bisect_exponent(natural, target, fits))
-    return [(s, n, t, r, weights.get(s, 0.0), min(weights.get(s, 0.0) * budget, cap[s])) for s, n, t, r in sources]
+    return [(s, n, t, r, weights.get(s, 0.0), float(min(weights.get(s, 0.0) * budget, cap[s]))) for s, n, t, r in sources]
 
 
 def source_sizes(counted: DataFrame, targets: DataFrame) -> DataFrame:

@@ -63,6 +63,10 @@ def test_exponent():
     assert abs(mixing.entropy({x[0]: x[4] for x in low}) - 0.5) < 1e-9
 
 
+def test_quotas_are_floats_at_the_limit():
+    assert all(isinstance(x[5], float) for x in mixing.plan([("a", 900, 0.5, 1), ("b", 100, 0.5, 1), ("c", 0, 0.1, 1)], budget=5000))
+
+
 def test_empty(spark):
     used, report = run(spark, [])
     assert used == [] and all(r["actual_share"] == 0 for r in report.values())
