@@ -26,11 +26,22 @@ def need(n: Column, num: int, den: int) -> Column:
 
 
 def memberships(members: DataFrame, giant: int) -> tuple[DataFrame, DataFrame]:
-    """The valid rows, and (src, id) of sets with more than ``giant`` of them, which are joined as relations and never
-    become one value."""
+    """The valid rows, and (src, id, n) of sets with ``n`` > ``giant`` different members, which are joined as relations
+    and never become one value. Only sets with more than ``giant`` rows have their rows made distinct for that."""
+    from ..session import cut
+
     m = members.filter(F.col("id").isNotNull() & F.col("tok").isNotNull()).select("src", "id", "tok")
-    big = m.groupBy("src", "id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > giant).select("src", "id")
-    return m, big
+    return m, cut(_sizes(m, giant + 1).filter(F.col("n") > giant))
+
+
+def _longer(m: DataFrame, rows: int) -> DataFrame:
+    """The distinct members of sets with at least ``rows`` rows, which are few."""
+    many = m.groupBy("src", "id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= rows).select("src", "id")
+    return m.join(F.broadcast(many), ["src", "id"], "left_semi").distinct()
+
+
+def _sizes(m: DataFrame, rows: int) -> DataFrame:
+    return _longer(m, rows).groupBy("src", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ranked(sets: DataFrame) -> DataFrame:
@@ -164,7 +175,7 @@ def similar_classes(members: DataFrame, num: int = 6, den: int = 10, giant: int
 
     m, big = memberships(members, giant)
     is_big = not big.isEmpty()
-    small = m.join(big, ["src", "id"], "left_anti") if is_big else m
+    small = m.join(F.broadcast(big), ["src", "id"], "left_anti") if is_big else m
     sets = cut(small.groupBy("src", "id").agg(F.collect_set("tok").alias("toks")).withColumn("n", F.size("toks")))
     all_ids = sets.select("src", "id")
     rank = ranked(sets)
@@ -189,26 +200,34 @@ def similar_classes(members: DataFrame, num: int = 6, den: int = 10, giant: int
     sent = usual.unionByName(crowded)
     pairs = sent.groupBy("src", "shard", "part1", "part2").applyInArrow(_shard(num, den), PAIRS)
     if is_big:
-        pairs = pairs.unionByName(_giant_pairs(m, big, giant, num, den))
-        all_ids = m.select("src", "id").distinct()
+        met = cut(_giant_pairs(m, big, num, den))
+        equal = met.filter("same").groupBy("src", F.col("id2").alias("id")).agg(F.min("id1").alias("rep"))
+        twins = cut(twins.unionByName(equal))
+        for c in ("id1", "id2"):
+            met = met.join(twins.select("src", F.col("id").alias(c)).filter(F.col("id") != F.col("rep")), ["src", c], "left_anti")
+        pairs = pairs.unionByName(met.select("src", "id1", "id2"))
+        all_ids = all_ids.unionByName(big.select("src", "id"))
     member = all_ids.join(twins, ["src", "id"], "left").select("src", "id", F.coalesce("rep", "id").alias("rep"))
     return pairs.distinct(), member
 
 
-def _giant_pairs(m: DataFrame, big: DataFrame, giant: int, num: int, den: int) -> DataFrame:
-    """Pairs with a giant set: both sets have at least num/den of ``giant`` members, so they are few; their common
-    tokens are counted by a join."""
-    rows = m.distinct()
-    n = rows.groupBy("src", "id").agg(F.count(F.lit(1)).alias("n"))
-    near = n.filter(F.col("n") * den >= giant * num // 2)
-    flagged = near.join(big.withColumn("big", F.lit(True)), ["src", "id"], "left")
-    rows = rows.join(flagged, ["src", "id"])
+def _giant_pairs(m: DataFrame, big: DataFrame, num: int, den: int) -> DataFrame:
+    """(src, id1, id2, same) with a giant set: both sets have at least num/den of the least giant's different members,
+    so they are few; their common tokens are counted by a join."""
+    from ..session import cut
+
+    least = -(-big.agg(F.min("n")).first()[0] * num // den)
+    rows = cut(_longer(m, least))
+    near = rows.groupBy("src", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    flagged = near.join(F.broadcast(big.select("src", "id", F.lit(True).alias("big"))), ["src", "id"], "left")
+    rows = rows.join(F.broadcast(flagged), ["src", "id"])
     a = rows.filter("big").select("src", "tok", F.col("id").alias("a"), F.col("n").alias("na"))
     b = rows.select("src", "tok", F.col("id").alias("b"), F.col("n").alias("nb"), "big")
     met = a.join(b, ["src", "tok"]).filter((F.col("a") < F.col("b")) | (F.col("big").isNull() & (F.col("a") != F.col("b"))))
     met = met.groupBy("src", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     met = met.filter(F.col("c") * den >= (F.col("na") + F.col("nb") - F.col("c")) * num)
-    return met.select("src", F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
+    same = (F.col("c") == F.col("na")) & (F.col("c") == F.col("nb"))
+    return met.select("src", F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), same.alias("same"))
 
 
 def similar_pairs(members: DataFrame, num: int = 6, den: int = 10, **how) -> DataFrame:

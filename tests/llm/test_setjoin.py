@@ -51,6 +51,23 @@ def test_giant_sets_are_joined_as_relations(spark):
     assert got == brute(sets)
 
 
+def test_giant_sets_by_different_members(spark):
+    few = {("a", 6000 + i): set(range(3000, 3008 + i % 2)) for i in range(4)}  # few members, repeated below
+    large = {("a", 7000): set(range(100, 160)), ("a", 7001): set(range(100, 160)), ("a", 7002): set(range(95, 158)), ("a", 7003): set(range(100, 140)), ("a", 7004): set(range(100, 140))}
+    sets = sample(2, 60) | few | large
+    repeats = [("a", i, t, k) for _, i in few for t in few["a", i] for k in range(9)] + [("a", 7003, 100, k) for k in range(90)]
+    df = members(spark, sets, repeats)
+    got = [tuple(r) for r in setjoin.similar_pairs(df, giant=41).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(sets)
+    want = {k: 0 for k in sets}
+    for s, a, b in brute(sets):
+        want[s, a] += 1
+        want[s, b] += 1
+    rows = {(r["src"], r["id"]): r for r in setjoin.links_per_record(df, giant=41).collect()}
+    assert {k: r["n_links"] for k, r in rows.items()} == want
+    assert {k: r["class_id"] for k, r in rows.items()} == {k: min(i for s, i in sets if s == k[0] and sets[s, i] == sets[k]) for k in sets}
+
+
 def test_links_per_record(spark):
     sets = sample(3, 80)
     pairs = brute(sets)
