@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, shuffle_width
 from .contigs import with_coverage
 
 
@@ -181,18 +181,22 @@ def crossings(contigs: DataFrame, imbalance: float = 1.7, match: float = 0.8) ->
     return j.select("edge_id", *[(-F.col(f"{s}_{x}.i")).alias(f"{s}_{n}") for s in ("in", "out") for x, n in (("a", "high"), ("b", "low"))], ok.alias("resolved"))
 
 
-def bfs(contigs: DataFrame, hops: int = 6) -> DataFrame:
-    """(graph, edge_id, level): edges reached from each graph's longest contig (least id at ties) in at most ``hops``
-    steps. Each round joins the new edges only."""
+def bfs(contigs: DataFrame) -> DataFrame:
+    """(graph, edge_id, level): all edges reached from each graph's longest contig (least id at ties) and the least
+    number of steps to them. Each round joins the new edges only, until there are none."""
     e = cut(edges(contigs).select("edge_id", "graph", "u", "v", "seq_len"))
     start = e.groupBy("graph").agg(F.max(F.struct("seq_len", (-F.col("edge_id")).alias("i"))).alias("m")).select("graph", (-F.col("m.i")).alias("edge_id"))
-    seen = start.select("graph", "edge_id", F.lit(0).alias("level"))
-    front = start
-    for level in range(1, hops + 1):
+    front = cut(start)
+    seen = front.select("graph", "edge_id", F.lit(0).alias("level"))
+    level = 0
+    while not front.isEmpty():
+        level += 1
         ends = front.join(e.select("edge_id", F.col("v").alias("u")), "edge_id").select("graph", "u").distinct()
         new = ends.join(e.select("u", "edge_id"), "u").select("graph", "edge_id").distinct()
         front = cut(new.join(seen, ["graph", "edge_id"], "left_anti"))
         seen = seen.unionByName(front.select("graph", "edge_id", F.lit(level).alias("level")))
+        if level % 8 == 0:  # else the union has more and more parts
+            seen = cut(seen.coalesce(shuffle_width(e.sparkSession)))
     return seen
 
 

@@ -95,6 +95,12 @@ def test_scaffold_order_and_ring(spark):
     assert sum(map(len, orders)) == 7
 
 
+def test_bfs_goes_on_to_the_end(spark):
+    spec = [(0, 1, 2, 5000, 1)] + [(i, 1 + i, 2 + i, 100, 1) for i in range(1, 20)] + [(30, 5, 40, 90, 1), (31, 40, 3, 90, 1), (32, 50, 51, 90, 1)]
+    got = {r["edge_id"]: r["level"] for r in graph.bfs(frame(spark, spec)).collect()}
+    assert got == {2 * i: i for i in range(20)} | {60: 4, 62: 5}
+
+
 def test_empty_and_null_contigs(spark):
     empty = spark.createDataFrame([], CONTIG)
     for f in (graph.invariants, graph.degrees, graph.components, graph.condense, graph.tips, graph.bubbles, graph.bfs, graph.shortest_paths, contigs.n50, contigs.units):
