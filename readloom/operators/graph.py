@@ -209,22 +209,25 @@ def neighbourhood(contigs: DataFrame) -> DataFrame:
     return both.groupBy("edge_id").agg(F.count(F.when(F.col("d") == 1, 1)).alias("n1"), F.count(F.when(F.col("d") == 2, 1)).alias("n2"))
 
 
-def shortest_paths(contigs: DataFrame, anchors: int = 4000, middle: int = 3000, hops: int = 4, most: int = 4000) -> DataFrame:
-    """(src, des, inserted, n_middle): from each contig of ``anchors`` or more to each other one, the least number of
-    bases put between them through at most ``hops`` contigs shorter than ``middle``, k-overlaps taken off, up to
-    ``most``; fewest contigs at ties. Bounded rounds of frontier joins that keep the best per (start, node)."""
+def shortest_paths(contigs: DataFrame, anchors: int = 4000, middle: int = 3000, most: int = 4000, starts: DataFrame | None = None) -> DataFrame:
+    """(src, des, inserted, n_middle): from each contig of ``anchors`` or more (of those in ``starts(src)``, if given) to
+    each other one, the least number of bases put between them through contigs shorter than ``middle`` and longer than
+    k, k-overlaps taken off, up to ``most``; fewest contigs at ties. Frontier joins that keep the best per (start,
+    node), until no best one changes."""
     e = cut(edges(contigs).select("edge_id", "rc_id", "u", "v", "seq_len", "k"))
     far = e.filter(F.col("seq_len") >= anchors)
-    inner = e.filter(F.col("seq_len") < middle).select("u", F.col("v").alias("v2"), (F.col("seq_len") - F.col("k")).alias("add"))
-    reach = far.select(F.col("edge_id").alias("src"), F.col("rc_id").alias("src_rc"), F.col("v").alias("u"), F.lit(0).cast("long").alias("inserted"), F.lit(0).alias("n_middle"))
-    found = reach
-    for _ in range(hops):
-        step = reach.join(inner, "u").select("src", "src_rc", F.col("v2").alias("u"), (F.col("inserted") + F.col("add")).alias("inserted"), (F.col("n_middle") + 1).alias("n_middle")).filter(F.col("inserted") <= most)
-        reach = cut(step.groupBy("src", "src_rc", "u", "n_middle").agg(F.min("inserted").alias("inserted")).select("src", "src_rc", "u", "inserted", "n_middle"))
-        found = found.unionByName(reach)
-    to = found.join(far.select("u", F.col("edge_id").alias("des")), "u").filter("des <> src and not (des <=> src_rc)")
-    best = to.groupBy("src", "des").agg(F.min(F.struct("inserted", "n_middle")).alias("m"))
-    return best.select("src", "des", F.col("m.inserted").alias("inserted"), F.col("m.n_middle").alias("n_middle"))
+    inner = e.filter((F.col("seq_len") < middle) & (F.col("seq_len") > F.col("k"))).select("u", F.col("v").alias("v2"), (F.col("seq_len") - F.col("k")).cast("long").alias("add"))
+    first = far.select(F.col("edge_id").alias("src"), F.col("rc_id").alias("src_rc"), F.col("v").alias("u"), F.struct(F.lit(0).cast("long").alias("inserted"), F.lit(0).alias("n_middle")).alias("m"))
+    reach = best = cut(first if starts is None else first.join(starts, "src", "left_semi"))
+    while not reach.isEmpty():
+        step = reach.join(inner, "u").select("src", "src_rc", F.col("v2").alias("u"), F.struct((F.col("m.inserted") + F.col("add")).alias("inserted"), (F.col("m.n_middle") + 1).alias("n_middle")).alias("m"))
+        step = step.filter(F.col("m.inserted") <= most).groupBy("src", "src_rc", "u").agg(F.min("m").alias("m"))
+        known = best.select("src", "u", F.col("m").alias("known"))
+        reach = cut(step.join(known, ["src", "u"], "left").filter(F.col("known").isNull() | (F.col("m") < F.col("known"))).select("src", "src_rc", "u", "m"))
+        best = cut(best.unionByName(reach).groupBy("src", "src_rc", "u").agg(F.min("m").alias("m")))
+    to = best.join(far.select("u", F.col("edge_id").alias("des")), "u").filter("des <> src and not (des <=> src_rc)")
+    least = to.groupBy("src", "des").agg(F.min("m").alias("m"))
+    return least.select("src", "des", F.col("m.inserted").alias("inserted"), F.col("m.n_middle").alias("n_middle"))
 
 
 def simplify(contigs: DataFrame, rounds: int = 10) -> DataFrame:
@@ -241,9 +244,9 @@ def simplify(contigs: DataFrame, rounds: int = 10) -> DataFrame:
     return now
 
 
-def path_counts(contigs: DataFrame, anchors: int = 4000, middle: int = 3000, hops: int = 3, most: int = 4000) -> DataFrame:
-    """(src, des, n_paths): different ways over at most ``hops`` contigs shorter than ``middle`` between contigs of
-    ``anchors`` or more, within ``most`` inserted bases. Ways that put in equally many bases over equally many contigs
+def path_counts(contigs: DataFrame, anchors: int = 4000, middle: int = 3000, hops: int = 30, most: int = 4000) -> DataFrame:
+    """(src, des, n_paths): different ways over at most ``hops`` contigs (the reference's 30) shorter than ``middle``
+    between contigs of ``anchors`` or more, within ``most`` inserted bases. Ways that put in equally many bases over equally many contigs
     and end at the same node are added up round by round, so paths are counted without being listed."""
     e = cut(edges(contigs).select("edge_id", "rc_id", "u", "v", "seq_len", "k"))
     far = e.filter(F.col("seq_len") >= anchors)
@@ -253,28 +256,36 @@ def path_counts(contigs: DataFrame, anchors: int = 4000, middle: int = 3000, hop
     for _ in range(hops):
         step = reach.join(inner, "u").withColumn("inserted", F.col("inserted") + F.col("add")).filter(F.col("inserted") <= most)
         reach = cut(step.groupBy("src", "src_rc", F.col("v2").alias("u"), "inserted").agg(F.sum("n").alias("n")))
+        if reach.isEmpty():
+            break
         found = found.unionByName(reach)
     to = found.join(far.select("u", F.col("edge_id").alias("des")), "u").filter("des <> src and not (des <=> src_rc)")
     return to.groupBy("src", "des").agg(F.sum("n").alias("n_paths"))
 
 
 def bulges(contigs: DataFrame, longest: int = 1000, low: float = 0.8, high: float = 1.2) -> DataFrame:
-    """(edge_id, n_edges, length): edges up to ``longest`` beside another way of two or three edges between the same
+    """(edge_id, n_edges, length): edges up to ``longest`` beside another way of two or more edges between the same
     nodes whose length, overlaps taken off, is ``low`` to ``high`` times theirs; the way with fewest edges, then the
-    shortest. The other way doesn't use the edge itself."""
+    shortest. The other way doesn't use the edge itself. An edge whose way is found leaves the search, and equal
+    lengths at one node go on once, so the length ends it."""
     e = cut(edges(contigs).select("edge_id", "u", "v", "seq_len", "k"))
     x = e.filter(F.col("seq_len") <= longest).select(F.col("edge_id").alias("x"), F.col("u").alias("xu"), F.col("v").alias("xv"), F.col("seq_len").alias("xl"))
-    short = e.filter(F.col("seq_len") <= high * longest)
+    short = e.filter((F.col("seq_len") <= high * longest) & (F.col("seq_len") > F.col("k")))
+    nxt = short.select(F.col("u").alias("at"), F.col("v").alias("to"), "edge_id", (F.col("seq_len") - F.col("k")).alias("add"))
     way = x.join(short, x["xu"] == short["u"]).filter("edge_id <> x").select("x", "xv", "xl", F.col("v").alias("at"), F.col("seq_len").cast("long").alias("length"))
-    found = None
-    for n in (2, 3):
-        nxt = short.select(F.col("u").alias("at"), F.col("v").alias("to"), "edge_id", (F.col("seq_len") - F.col("k")).alias("add"))
+    way = cut(way.filter(F.col("length") <= high * F.col("xl")).distinct())
+    found, n = None, 1
+    while found is None or not way.isEmpty():
+        n += 1
         way = way.join(nxt, "at").filter("edge_id <> x").select("x", "xv", "xl", F.col("to").alias("at"), (F.col("length") + F.col("add")).alias("length")).filter(F.col("length") <= high * F.col("xl"))
         way = cut(way.distinct())
-        hit = way.filter((F.col("at") == F.col("xv")) & (F.col("length") >= low * F.col("xl"))).select("x", F.lit(n).alias("n_edges"), "length")
+        hit = way.filter((F.col("at") == F.col("xv")) & (F.col("length") >= low * F.col("xl"))).groupBy("x").agg(F.min("length").alias("length"))
+        hit = cut(hit.select("x", F.lit(n).alias("n_edges"), "length"))
+        way = way.join(hit, "x", "left_anti")
         found = hit if found is None else found.unionByName(hit)
-    best = found.groupBy("x").agg(F.min(F.struct("n_edges", "length")).alias("m"))
-    return best.select(F.col("x").alias("edge_id"), F.col("m.n_edges").alias("n_edges"), F.col("m.length").alias("length"))
+        if n % 8 == 0:  # else the union has more and more parts
+            found = cut(found.coalesce(shuffle_width(e.sparkSession)))
+    return found.select(F.col("x").alias("edge_id"), "n_edges", "length")
 
 
 def downstream_reach(contigs: DataFrame, hops: int = 4, cap: int = 1000) -> DataFrame:

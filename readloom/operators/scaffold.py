@@ -82,7 +82,7 @@ def bridges(placed: DataFrame, contigs: DataFrame) -> DataFrame:
     both meet at a node, ``path`` where short contigs lead over, with the bases they insert, else ``gap``."""
     order = Window.partitionBy("scaffold").orderBy("pos")
     pairs = placed.select("scaffold", "pos", F.col("edge_id").alias("src"), F.lead("edge_id").over(order).alias("des")).filter("des is not null")
-    found = graph.shortest_paths(contigs, anchors=0)
+    found = graph.shortest_paths(contigs, anchors=0, starts=pairs.select("src").distinct())
     j = pairs.join(found, ["src", "des"], "left")
     state = F.when(F.col("n_middle") == 0, "adjacent").when(F.col("n_middle") > 0, "path").otherwise("gap")
     return j.select("scaffold", "pos", "src", "des", state.alias("state"), F.coalesce("inserted", F.lit(GAP).cast("long")).alias("inserted"))

@@ -101,6 +101,20 @@ def test_bfs_goes_on_to_the_end(spark):
     assert got == {2 * i: i for i in range(20)} | {60: 4, 62: 5}
 
 
+def test_ways_over_many_contigs(spark):
+    spec = [(0, 1, 2, 5000, 1)] + [(i, 1 + i, 2 + i, 61, 1) for i in range(1, 9)] + [(9, 10, 11, 5000, 1), (20, 2, 10, 700, 1), (21, 6, 6, 40, 1)]  # eight of 30 bases, a longer detour, a loop of 9
+    c = frame(spark, spec)
+    paths = {(r["src"], r["des"]): (r["inserted"], r["n_middle"]) for r in graph.shortest_paths(c).collect()}
+    assert paths == {(0, 18): (240, 8), (19, 1): (240, 8)}
+    placed = spark.createDataFrame([(0, 0, 0), (0, 1, 18)], "scaffold long, pos long, edge_id long")
+    assert [(r["state"], r["inserted"]) for r in scaffold.bridges(placed, c).collect()] == [("path", 240)]
+    counts = {(r["src"], r["des"]): r["n_paths"] for r in graph.path_counts(c).collect()}
+    assert counts == {(0, 18): 1 + 23, (19, 1): 1 + 23}  # the detour; eight contigs and the loop 0 to 22 times, 30 in all
+    beside = spec[1:9] + [(20, 2, 10, 271, 1)]
+    found = {r["edge_id"]: (r["n_edges"], r["length"]) for r in graph.bulges(frame(spark, beside)).collect()}
+    assert found == {40: (8, 271), 41: (8, 271)}
+
+
 def test_empty_and_null_contigs(spark):
     empty = spark.createDataFrame([], CONTIG)
     for f in (graph.invariants, graph.degrees, graph.components, graph.condense, graph.tips, graph.bubbles, graph.bfs, graph.shortest_paths, contigs.n50, contigs.units):
