@@ -162,26 +162,26 @@ def sites(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sites, SITES)
 
 
-def slot_names(found: DataFrame, least: int = 2, most: int = 1000) -> DataFrame:
-    """(name): the words of variable names that unmistakable wrappers hold in at least ``least`` records; the ``most``
-    frequent ones, in reading of lower case."""
+def slot_names(found: DataFrame, least: int = 2) -> DataFrame:
+    """(name): all words of variable names that unmistakable wrappers hold in at least ``least`` records, in lower
+    case."""
     words = F.explode(F.split(F.lower(F.regexp_replace("slot", r"([a-z])([A-Z])", "$1 $2")), r"[\s._\-]+")).alias("name")
     names = found.filter((F.col("kind") == "name") & (F.length("slot") > 0) & (F.size(F.split("slot", " ")) <= 3)).select("doc_id", words).filter(F.length("name") > 1).distinct()
-    names = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return names.orderBy(F.desc("n"), "name").limit(most).select("name")
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("name")
 
 
-def template_parts(found: DataFrame, least: int = 20, constant: float = 0.5, most: int = 200) -> list[tuple[str, str, str]]:
+def template_parts(found: DataFrame, least: int = 20, constant: float = 0.5) -> list[tuple[str, str, str]]:
     """(kind, cue, sign): what stands beside a message part in more than ``constant`` of at least ``least`` records.
 
     Records of one message are aligned at the part that was found; signs that stay the same beside it belong to the
-    template, those that vary are a slot. At most ``most`` parts, the best supported ones, go to the driver."""
+    template, those that vary are a slot. They go to the driver: a record has two signs per message part, so fewer than
+    four of one part can stand in more than half of its records."""
     hits = found.filter(F.col("kind").isin("error", "script", "filler") & (F.col("cue") != "latin filler"))
     sides = hits.select("kind", "cue", "doc_id", F.explode(F.array("before", "after")).alias("sign")).filter(F.length("sign") == BESIDE)
     n = sides.groupBy("kind", "cue", "sign").agg(F.count_distinct("doc_id").alias("n"))
     all_docs = hits.groupBy("kind", "cue").agg(F.count_distinct("doc_id").alias("docs")).filter(F.col("docs") >= least)
     kept = n.join(all_docs, ["kind", "cue"]).filter(F.col("n") > constant * F.col("docs"))
-    return [(r["kind"], f"beside: {r['cue']}", r["sign"]) for r in kept.orderBy(F.desc("n"), "cue", "sign").limit(most).collect()]
+    return [(r["kind"], f"beside: {r['cue']}", r["sign"]) for r in kept.orderBy(F.desc("n"), "cue", "sign").collect()]
 
 
 def part_hits(docs: DataFrame, parts: list[tuple[str, str, str]]) -> DataFrame:
@@ -213,7 +213,7 @@ def residue(docs: DataFrame, least: int = 2, odds: float = 0.02) -> DataFrame:
     sure = found.filter(F.col("kind") != "bracket").select("doc_id", "kind", "cue", "slot")
     maybe = found.filter(F.col("kind") == "bracket").select("doc_id", "kind", "cue", "slot").distinct()
     words = maybe.select("doc_id", "cue", "slot", F.explode(F.split(F.lower("slot"), r"[\s._\-]+")).alias("name"))
-    known = words.join(F.broadcast(slot_names(found, least).withColumn("known", F.lit(1))), "name", "left")
+    known = words.join(slot_names(found, least).withColumn("known", F.lit(1)), "name", "left")
     named = known.groupBy("doc_id", "cue", "slot").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k")).filter(F.col("n") == F.col("k"))
     out = sure.unionByName(named.select("doc_id", F.lit("name").alias("kind"), "cue", "slot")).distinct()
     parts = template_parts(found)

@@ -30,6 +30,13 @@ def test_print_brackets_need_names_of_the_corpus(spark):
     assert got == {1, 2, 3, 5}
 
 
+def test_names_beyond_the_most_frequent_thousand_count(spark):
+    rows = [(3 * i + j, f"{{{{{'abcdefghij'[i // 100 % 10]}{i:04d}x}}}} y") for i in range(1100) for j in range(3)]
+    rows += [(9000, "{{zrare}}"), (9001, "${zrare}"), (9002, "the [zrare] z"), (9003, "the [sic] z")]
+    found = residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 9000")
+    assert {r["doc_id"] for r in found.collect()} == {9000, 9001, 9002}
+
+
 def test_alignment_finds_constant_words_and_slots(spark):
     rows = [(i, f"Title: {{{{page}}}} by {w} today") for i, w in enumerate(["ann", "bob", "cy"])]
     got = {(r["side"], r["place"]): r["word"] for r in residue.aligned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
