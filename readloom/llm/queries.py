@@ -64,6 +64,11 @@ def p6_estimates(s: SparkSession, d: str) -> DataFrame:
     return overlap.sampled_overlaps(*_cov(s, d), 0.3)
 
 
+def p6_intervals(s: SparkSession, d: str) -> DataFrame:
+    """Pairs above the limit with their exact overlap and whether the estimate's interval holds it."""
+    return overlap.intervals(*_cov(s, d), 0.3)
+
+
 def p7_ids(s: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(s, d, "documents", "doc_id", "text"))
 
@@ -113,7 +118,7 @@ def p9_templates(s: SparkSession, d: str) -> DataFrame:
     return residue.aligned(table(s, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p4_found, p4_shared, p6_found, p6_estimates, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_temperature, p9_found, p9_sites, p9_templates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p4_found, p4_shared, p6_found, p6_estimates, p6_intervals, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_temperature, p9_found, p9_sites, p9_templates)}
 
 _SETS = """
 with m as (
@@ -158,5 +163,6 @@ SQL: dict[str, str] = {
     "p4_found": _SPANS + "select o.edge, cast(o.p as integer) as p from hit join o on o.edge = hit.edge and o.i = hit.i",
     "p4_shared": _SPANS + "select o.edge, count(*) as n_entries, count(hit.i) as n_shared from o left join hit on o.edge = hit.edge and o.i = hit.i group by 1",
     "p6_found": _COV + "select e1, e2 from c join n x on x.edge = e1 join n y on y.edge = e2 where c >= 0.3 * least(x.n, y.n)",
+    "p6_intervals": _COV + "select e1, e2, c as shared, true as covered from c join n x on x.edge = e1 join n y on y.edge = e2 where c >= 0.3 * least(x.n, y.n)",
     "p7_round_trip": "select doc_id, true as same from documents",
 }

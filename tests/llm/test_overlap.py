@@ -40,7 +40,7 @@ def brute(sets, share):
 def test_pairs(spark, seed, size, sample):
     sets, rng = make(seed, size)
     members, sizes = overlap.coverage_members(spark.createDataFrame(pieces(sets, rng), SCHEMA))
-    got = [tuple(r) for r in overlap.overlapping(members, sizes, 0.3, sample=sample, common=6).collect()]
+    got = [tuple(r) for r in overlap.overlapping(members, sizes, 0.3, sample=sample).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(sets, 0.3)
 
@@ -59,7 +59,29 @@ def test_intervals_cover_the_truth(spark):
 def test_sets_of_common_identifiers_only(spark):
     sets = {e: set(range(e % 3, 30)) for e in range(12)}
     members, sizes = overlap.coverage_members(spark.createDataFrame(pieces(sets, random.Random(1)), SCHEMA))
-    assert {tuple(r) for r in overlap.overlapping(members, sizes, 0.3, common=3).collect()} == brute(sets, 0.3)
+    assert {tuple(r) for r in overlap.overlapping(members, sizes, 0.3).collect()} == brute(sets, 0.3)
+
+
+def test_sets_keep_a_sample_only(spark):
+    """Without a given sample a tenth of the median set is kept, and still every pair comes out."""
+    sets, rng = make(6, [3000, 5000, 9000])
+    members, sizes = overlap.coverage_members(spark.createDataFrame(pieces(sets, rng), SCHEMA))
+    assert overlap.sample_size(sizes, 0.3, 4.0) < 700
+    rows = overlap.sampled_overlaps(members, sizes, 0.3).collect()
+    assert rows and not any(r["exact"] for r in rows)
+    assert {tuple(r) for r in overlap.overlapping(members, sizes, 0.3).collect()} == brute(sets, 0.3)
+    held = overlap.intervals(members, sizes, 0.3).collect()
+    assert {(r["e1"], r["e2"]) for r in held} == brute(sets, 0.3)
+    assert all(r["covered"] for r in held)
+
+
+def test_two_thousand_common_identifiers(spark):
+    """More common identifiers than any list would hold: all sets share them, and few pairs share more."""
+    rng = random.Random(8)
+    sets = {e: set(range(2000)) | {rng.randrange(2000, 10**8) for _ in range(9000)} for e in range(30)}
+    sets[1] |= set(sorted(sets[0])[2000:6000])
+    members, sizes = overlap.coverage_members(spark.createDataFrame(pieces(sets, rng), SCHEMA))
+    assert {tuple(r) for r in overlap.overlapping(members, sizes, 0.3, sample=500).collect()} == brute(sets, 0.3)
 
 
 def test_empty(spark):
