@@ -118,7 +118,11 @@ def p9_templates(s: SparkSession, d: str) -> DataFrame:
     return residue.aligned(table(s, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p4_found, p4_shared, p6_found, p6_estimates, p6_intervals, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_temperature, p9_found, p9_sites, p9_templates)}
+def p9_messages(s: SparkSession, d: str) -> DataFrame:
+    return residue.templates(table(s, d, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p4_found, p4_shared, p6_found, p6_estimates, p6_intervals, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_temperature, p9_found, p9_sites, p9_templates, p9_messages)}
 
 _SETS = """
 with m as (

@@ -1,15 +1,17 @@
 """Template residue and error-page text in scanned pages.
 
-Three steps, the middle one over the whole corpus:
-
-1. ``sites``: every task reads its texts once and notes the places that may be residue: wrapped names, filler, message
-   parts. Message parts are looked up in a reading form that maps letters which scans confuse to the same signs and
-   drops case, accents, spaces, punctuation and line breaks.
-2. ``aligned``: sites of one template are aligned at their anchor. A place beside it where one word stands in most
-   records is part of the template; a place whose word varies is a slot. ``slot_names`` collects the names that stand
-   in unmistakable wrappers in at least two records: the variable names of the page templates at hand.
-3. ``residue``: a site counts if its slot holds a variable name, a default or filler, or if it is a message part.
-   Brackets that print also uses count only with a name from step 2 or a name in the form of an identifier.
+Nothing lists the messages to look for; they are induced from the corpus:
+
+1. ``learn``: page systems put messages where a whole page should be, so pages far shorter than the corpus' usual one
+   are where their templates stand alone. Runs of up to four words of these pages are counted among short and among
+   other pages, all documents, in a reading form that ignores case, accents, letters that scans confuse and numbers.
+   Aligned over their records, words that stay are parts of a template, words that vary are its slots; parts that
+   newspapers use as well are told by their share of the other pages and left out.
+2. ``sites``: every text is searched for these parts with one automaton, for names in the wrappers of template
+   languages (slots that still hold their variable's name), and for status lines and "lorem ipsum". A stretch of parts
+   of ``SIGNS`` letters or more is a message.
+3. ``residue``: a site counts if it is a message, a seed or a name in an unmistakable wrapper. Brackets that print also
+   uses count only with a name that such wrappers hold elsewhere in the corpus, or one in the form of an identifier.
 """
 
 from __future__ import annotations
@@ -17,48 +19,27 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BESIDE = 14  # signs of the reading form that are kept on both sides of a message part
+WORDS = 4  # longest run of words that is a part of a template
+SIGNS = 12  # letters of a stretch of parts that make a message
+LEAST = 8  # letters of a part
 SITES = "doc_id long, kind string, cue string, slot string, before string, after string"
 
-# Message parts of servers, programs and viewers, per language as they are written.
-ERRORS = """
-found on this server|looking for does not exist|does not exist or has been moved|you are looking for does|could not load this|please try again later
-unexpected error occurred|occurred while rendering|while rendering the page|error code: 4|error code: 5|request id |back to home | contact us
-have permission to view|permission to view this|image server timed out|connection to the image server|timed out; page not loaded|timed out; document not loaded
-unable to retrieve|upstream returned|returned an empty response|requests from your network|retry after|session has expired|sign in again to open
-temporarily unavailable|due to maintenance|allowed memory size|tried to allocate|fatal error:|runtime error|index out of range|undefined variable
-/srv/view/page.php|undefined undefined|no such file, open|ENOENT|.alto.xml|NullPointerException|PageMerger|most recent call last|KeyError:
-HTTP/1.1 4|HTTP/1.1 5|HTTP status 4|HTTP status 5|bad gateway|gateway timeout|request timeout|internal server error|too many requests from|SQLSTATE|connection refused|object Object|Ray ID
-auf dem Server nicht|angeforderte Datei|angeforderte Seite|interner Fehler|Fehler beim Laden|Zugriff verweigert:|wegen Wartung|nicht erreichbar
-sur ce serveur|erreur interne|interne du serveur|pendant le chargement|refusé à cette|indisponible|ressource demandée est introuvable|page demandée est introuvable
-encuentra en el servidor|solicitada no se encuentra|error interno del|servidor al cargar|acceso denegado|temporalmente
-"""
+# Names of HTTP status codes, and the usual filler. With numbers as one sign they are seeds of their own.
 STATUS = {
     400: "bad request", 401: "unauthorized", 403: "forbidden", 404: "not found", 408: "request timeout", 410: "gone", 429: "too many requests",
     500: "internal server error", 502: "bad gateway", 503: "service unavailable", 504: "gateway timeout",
 }
-SCRIPTS = """
-javascript|scripting|allow scripts and|scripts and cookies|scripts are blocked|loaded by script|needs cookies|cookies, which are turned|noscript:|inline frames
-newer browser|your browser|if nothing happens, allow|Skripte zulassen|Ihrem Browser|les scripts|votre navigateur|su navegador|los scripts
-"""
-# Filler and instructions to put text somewhere.
-FILLER = """
-lorem ipsum|asdf asdf|blah blah|abc abc abc|test test test|text text text|copy copy copy|replace before publishing|placeholder
-Blindtext|Mustertext|Fülltext|Beispieltitel
-à remplacer|de remplissage|insérer titre|insérer légende|insérer texte|insérer contenu|exemple de titre|exemple de légende|exemple de texte|exemple de contenu
-votre titre|votre légende|votre texte|votre contenu|por reemplazar|de relleno|ejemplo de|inserte titular|inserte pie|inserte texto|inserte contenido
-su titular|su pie de foto|su texto|su contenido
-"""
-COPY = ["headline", "title", "caption", "article text", "body copy", "second paragraph", "byline", "text"]
-GOES = ["goes here", "to come", "to be supplied", "TK", "here"]
-PUT = ["insert", "your", "placeholder", "sample"]
-LATIN = "lorem ipsum nostrud fugiat laborum mollit veniam aliqua vellum etiam tempor dolor culpa magna".split()
+FILLER = "lorem ipsum"
 
 # Letters that scans confuse get the same signs: c e, t f, n u, h b li, d cl, m rn in, w vv, y v, g q, i l 1, o 0, s 5.
 _SAME = {"c": "e", "f": "t", "u": "n", "h": "ii", "b": "ii", "l": "i", "1": "i", "d": "ei", "m": "in", "w": "vv", "y": "v", "q": "g", "0": "o", "5": "s", "ſ": "s", "ß": "ss", "æ": "ae", "œ": "oe", "ﬁ": "ti", "ﬂ": "ti"}
@@ -85,19 +66,11 @@ def reading(text: str) -> str:
     return text.translate(_TABLE).replace("rn", "in")
 
 
-def _parts(block: str) -> list[str]:
-    return [p for line in block.strip().split("\n") for p in line.split("|") if p.strip()]
-
-
-def cues() -> list[tuple[str, str, str]]:
-    """(kind, cue, reading form) of all message parts."""
-    got = [("error", p) for p in _parts(ERRORS)]
-    got += [("error", f"{code} {name}") for code, name in STATUS.items()]
-    got += [("script", p) for p in _parts(SCRIPTS)]
-    got += [("filler", p) for p in _parts(FILLER)]
-    got += [("filler", f"{c} {g}") for c in COPY for g in GOES if (c, g) != ("text", "here")]
-    got += [("filler", f"{p} {c}") for p in ("insert", "sample") for c in COPY]
-    return [(kind, cue, reading(cue)) for kind, cue in got]
+@lru_cache(1 << 18)
+def _sign(word: str) -> str:
+    """A word in reading form, one sign for words with figures in them; empty for punctuation."""
+    form = reading(word)
+    return "#" if any(c in "2346789" for c in form) else form
 
 
 _NAME = r"[^\W\d_](?:[\w.\- ]{0,60}\w)?"
@@ -107,122 +80,253 @@ _HARD = re.compile(
 _SOFT = re.compile(rf"<({_NAME})\s*>|«\s?({_NAME})\s?»|\$({_NAME})\$|\[({_NAME})\]|(?<!_)__({_NAME})__(?!_)|\{{\s?({_NAME})\s?\}}")
 _OPEN = re.compile(r"[{<«$\[]\s?(?:INSERT|insert)\b|\{\{|\{%|\$\{|#\{|<%=|%\(|%%|@@|\[\[|<!-")
 _IDENTIFIER = re.compile(r"(?:[a-z]+[A-Z][A-Za-z]*|[^\W_]+(?:_[^\W_]+)+|[a-z]+(?:\.[a-z]+)+|(?:INSERT|insert)[ _].*)")
-_CROSSES = re.compile(r"\bx{4,}+\s+x{4,}+", re.IGNORECASE)  # a row of words of x; one long word is a printed rule
 _ENTITY = re.compile(r"&([l1iIgq])[tf];")
 _BREAK = re.compile(r"[-­¬]\r?\n\s*")
 
 
-def _around(text: str, start: int, end: int) -> tuple[str, str]:
-    left, right = text[max(0, start - 60) : start].split(), text[end : end + 60].split()
-    return " ".join(left[-3:]), " ".join(right[:3])
+def _segments(text: str) -> list[list[tuple[str, str]]]:
+    """The text as runs of (sign, word), cut at the ends of sentences and where lines change from capitals to others:
+    a heading isn't the start of what follows it. Words broken over lines are joined first."""
+    runs, now, last = [], [], None
+    for line in _BREAK.sub("", text).split("\n"):
+        capitals = line.isupper()
+        if now and last is not None and capitals != last:
+            runs.append(now)
+            now = []
+        if line and not line.isspace():
+            last = capitals
+        for word in line.split():
+            if sign := _sign(word):
+                now.append((sign, word))
+            if word[-1] in ".!?" and len(word) > 2 and now:
+                runs.append(now)
+                now = []
+    return runs + [now] if now else runs
+
+
+def _parts(text: str) -> set[tuple[str, ...]]:
+    found = set()
+    for run in _segments(text):
+        signs = [s for s, _ in run]
+        for n in range(1, WORDS + 1):
+            found.update(p for i in range(len(signs) - n + 1) if sum(map(len, p := tuple(signs[i : i + n]))) >= LEAST)
+    return found
+
 
+@dataclass
+class Parts:
+    """Induced parts of message templates, as runs of signs without spaces, with the records that show them."""
 
-def _sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = cues()
-    latin = [reading(w) for w in LATIN]
+    short: int = 0  # short pages of the corpus
+    other: int = 0
+    found: dict[str, tuple[int, int]] = field(default_factory=dict)  # part: (short pages, other pages)
+
+
+def _rows(columns: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, columns)], [n for n, _ in columns])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple] = []
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            if not raw or raw.isspace():
-                continue
-            text = _BREAK.sub("", raw)
-            if "&" in text:
-                text = html.unescape(_ENTITY.sub(lambda m: "&lt;" if m[1] in "l1iI" else "&gt;", text))
-            form = reading(text)
-            for kind, cue, sign in parts:
-                at = form.find(sign)
-                if at >= 0:
-                    rows.append((doc, kind, cue, None, form[max(0, at - BESIDE) : at], form[at + len(sign) : at + len(sign) + BESIDE]))
-            found = [w for w in latin if w in form]
-            if len(found) >= 4:
-                rows.append((doc, "filler", "latin filler", " ".join(found[:4]), "", ""))
-            if m := _CROSSES.search(text):
-                rows.append((doc, "filler", "xxxxx xxxxx", None, *_around(text, m.start(), m.end())))
-            if any(c in text for c in "{<«$[%@_#"):
-                flat = re.sub(r"\s+", " ", text)
-                hard = False
-                for m in _HARD.finditer(flat):
-                    hard = True
-                    name = next((g for g in m.groups() if g), "")
-                    rows.append((doc, "name", m[0][:2].strip(), name, *_around(flat, m.start(), m.end())))
-                if not hard and (m := _OPEN.search(flat)):
-                    rows.append((doc, "name", m[0], "", *_around(flat, m.start(), m.end())))
-                for m in _SOFT.finditer(flat):
-                    name = next(g for g in m.groups() if g)
-                    kind = "name" if _IDENTIFIER.fullmatch(name) else "bracket"
-                    rows.append((doc, kind, m[0][0], name, *_around(flat, m.start(), m.end())))
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["doc_id", "kind", "cue", "slot", "before", "after"])
-
-
-def sites(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, cue, slot, before, after): places that may be residue, with what stands beside them.
-
-    Whole texts are read; null, empty and blank ones have no sites."""
-    return docs.select("doc_id", "text").mapInArrow(_sites, SITES)
+        n = Counter(p for text in batch.column("text").to_pylist() for p in _parts(text))
+        yield _rows([("part", pa.string()), ("n", pa.int64())], [(" ".join(p), c) for p, c in n.items()])
 
 
-def slot_names(found: DataFrame, least: int = 2) -> DataFrame:
-    """(name): all words of variable names that unmistakable wrappers hold in at least ``least`` records, in lower
-    case."""
-    words = F.explode(F.split(F.lower(F.regexp_replace("slot", r"([a-z])([A-Z])", "$1 $2")), r"[\s._\-]+")).alias("name")
-    names = found.filter((F.col("kind") == "name") & (F.length("slot") > 0) & (F.size(F.split("slot", " ")) <= 3)).select("doc_id", words).filter(F.length("name") > 1).distinct()
-    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("name")
+def _automaton(parts) -> ahocorasick.Automaton | None:
+    found = ahocorasick.Automaton()
+    for p in parts:
+        found.add_word(p, p)
+    if not len(found):
+        return None
+    found.make_automaton()
+    return found
 
 
-def template_parts(found: DataFrame, least: int = 20, constant: float = 0.5) -> list[tuple[str, str, str]]:
-    """(kind, cue, sign): what stands beside a message part in more than ``constant`` of at least ``least`` records.
+def _count(parts: list[str]):
+    """How many short and other documents hold each part, added up inside the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _automaton(parts)
+        n: Counter = Counter()
+        for batch in batches:
+            for text, short in zip(batch.column("text").to_pylist(), batch.column("short").to_pylist()):
+                stream = "|".join("".join(s for s, _ in r) for r in _segments(text))
+                n.update((p, short) for p in {p for _, p in search.iter(stream)})
+        yield _rows([("part", pa.string()), ("short", pa.bool_()), ("n", pa.int64())], [(*k, c) for k, c in n.items()])
+
+    return run
+
+
+def learn(docs: DataFrame, length: float = 0.25, support: float = 0.0005, lift: float = 10.0, common: float = 2.0) -> Parts:
+    """Parts of message templates of a corpus (doc_id, text).
+
+    A page is short if it has fewer than ``length`` times the words of the median page. A part stands in at least
+    ``support`` of all short pages (a single word in two or more of them at that) and in two documents or more, and its
+    share of the short pages is at least ``lift`` times that of the others. Parts that hold a run of words which is less
+    than ``common`` times as frequent on short pages, such as headings, are newspaper text. The support bounds the parts
+    that leave Spark: WORDS times the words of a short page over ``support``, whatever the number of documents. Repeated
+    documents count as often as they stand. A phrase that a message shares with print is told by its frequency only, so one
+    printed in a few pages is still a part. A corpus without short pages, or of short pages only, has no parts.
+    """
+    pages = docs.select("text").filter(F.trim(F.regexp_replace("text", r"\s", " ")) != "").withColumn("words", F.size(F.split(F.trim("text"), r"\s+")))
+    median = pages.agg(F.percentile_approx("words", 0.5)).first()[0]
+    pages = pages.select("text", (F.col("words") < length * (median or 0)).alias("short"))
+    n_short, n_other = pages.agg(F.count(F.when(F.col("short"), 1)), F.count(F.when(~F.col("short"), 1))).first()
+    got = Parts(n_short, n_other)
+    if not n_short or not n_other:
+        return got
+    least = support * n_short
+    rows = pages.filter("short").select("text").mapInArrow(_candidates, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    rows = rows.filter((F.col("n") >= least) & ((F.col("n") >= 2) | F.contains("part", F.lit(" "))))
+    runs = [tuple(r["part"].split(" ")) for r in rows.toLocalIterator()]
+    if not runs:
+        return got
+    joined = sorted({"".join(r) for r in runs})
+    counted: dict[str, list[int]] = {p: [0, 0] for p in joined}
+    for r in pages.mapInArrow(_count(joined), "part string, short boolean, n long").groupBy("part", "short").agg(F.sum("n").alias("n")).toLocalIterator():
+        counted[r["part"]][not r["short"]] = r["n"]
+    rise = {p: s * n_other / (max(o, 1) * n_short) for p, (s, o) in counted.items()}
+    for run in runs:
+        inner = ("".join(run[i:j]) for i in range(len(run)) for j in range(i + 1, len(run) + 1))
+        part = "".join(run)
+        if sum(counted[part]) >= 2 and rise[part] >= lift and all(rise.get(x, lift) >= common for x in inner):
+            got.found[part] = (counted[part][0], counted[part][1])
+    return got
+
+
+def _messages(text: str, search) -> Iterator[tuple[list[tuple[str, str]], list[bool]]]:
+    """Segments that hold a stretch of parts of ``SIGNS`` or more, and which of their words the stretches cover."""
+    for run in _segments(text):
+        covered: list[list[int]] = []
+        for end, part in search.iter("".join(s for s, _ in run)):
+            start = end + 1 - len(part)
+            while covered and covered[-1][1] >= start:
+                start = min(start, covered.pop()[0])
+            covered.append([start, end + 1])
+        covered = [c for c in covered if c[1] - c[0] >= SIGNS]
+        if covered:
+            at, hit = 0, []
+            for sign, _ in run:
+                hit.append(any(a < at + len(sign) and at < b for a, b in covered))
+                at += len(sign)
+            yield run, hit
 
-    Records of one message are aligned at the part that was found; signs that stay the same beside it belong to the
-    template, those that vary are a slot. They go to the driver: a record has two signs per message part, so fewer than
-    four of one part can stand in more than half of its records."""
-    hits = found.filter(F.col("kind").isin("error", "script", "filler") & (F.col("cue") != "latin filler"))
-    sides = hits.select("kind", "cue", "doc_id", F.explode(F.array("before", "after")).alias("sign")).filter(F.length("sign") == BESIDE)
-    n = sides.groupBy("kind", "cue", "sign").agg(F.count_distinct("doc_id").alias("n"))
-    all_docs = hits.groupBy("kind", "cue").agg(F.count_distinct("doc_id").alias("docs")).filter(F.col("docs") >= least)
-    kept = n.join(all_docs, ["kind", "cue"]).filter(F.col("n") > constant * F.col("docs"))
-    return [(r["kind"], f"beside: {r['cue']}", r["sign"]) for r in kept.orderBy(F.desc("n"), "cue", "sign").collect()]
 
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    left, right = text[max(0, start - 60) : start].split(), text[end : end + 60].split()
+    return " ".join(left[-3:]), " ".join(right[:3])
 
-def part_hits(docs: DataFrame, parts: list[tuple[str, str, str]]) -> DataFrame:
-    """(doc_id, kind, cue): documents that hold one of the given parts, in reading form."""
 
+def _stretches(run: list[tuple[str, str]], hit: list[bool]) -> Iterator[tuple[str, str, str]]:
+    """(words, three before, three after) of the covered stretches of a segment."""
+    words = [w for _, w in run]
+    i = 0
+    while i < len(hit):
+        j = i
+        while j < len(hit) and hit[j]:
+            j += 1
+        if j > i:
+            yield " ".join(words[i:j]), " ".join(words[max(0, i - 3) : i]), " ".join(words[j : j + 3])
+        i = max(j, i + 1)
+
+
+def _seeds() -> list[tuple[str, str, str]]:
+    return [("status", f"{code} {name}", reading(f"{code} {name}")) for code, name in STATUS.items()] + [("filler", FILLER, reading(FILLER))]
+
+
+def _sites(parts: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _automaton(parts)
+        seeds = _automaton(s for _, _, s in _seeds())
+        named = {s: (kind, cue) for kind, cue, s in _seeds()}
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if not raw or raw.isspace():
+                    continue
+                for segment, hit in _messages(raw, search) if search else ():
+                    rows += [(doc, "message", cue, None, before, after) for cue, before, after in _stretches(segment, hit)]
+                text = _BREAK.sub("", raw)
+                form = reading(text)
+                rows += [(doc, *named[s], None, form[max(0, end - len(s) - 13) : end + 1 - len(s)], form[end + 1 : end + 15]) for end, s in seeds.iter(form)]
+                if "&" in text:
+                    text = html.unescape(_ENTITY.sub(lambda m: "&lt;" if m[1] in "l1iI" else "&gt;", text))
+                if any(c in text for c in "{<«$[%@_#"):
+                    flat = re.sub(r"\s+", " ", text)
+                    taken = []
+                    for m in _HARD.finditer(flat):
+                        taken.append(m.span())
+                        name = next((g for g in m.groups() if g), "")
+                        rows.append((doc, "name", m[0][:2].strip(), name, *_around(flat, m.start(), m.end())))
+                    for m in _OPEN.finditer(flat):
+                        if not any(a <= m.start() < b for a, b in taken):
+                            rows.append((doc, "name", m[0], "", *_around(flat, m.start(), m.end())))
+                    for m in _SOFT.finditer(flat):
+                        name = next(g for g in m.groups() if g)
+                        kind = "name" if _IDENTIFIER.fullmatch(name) else "bracket"
+                        rows.append((doc, kind, m[0][0], name, *_around(flat, m.start(), m.end())))
+            yield _rows([("doc_id", pa.int64()), *((c, pa.string()) for c in ("kind", "cue", "slot", "before", "after"))], rows)
+
+    return run
+
+
+def sites(docs: DataFrame, parts: Parts | None = None) -> DataFrame:
+    """(doc_id, kind, cue, slot, before, after): all places that may be residue, with what stands beside them.
+
+    ``parts`` are those of ``learn``, by default of these documents. Whole texts are read; null, empty and blank ones
+    have no sites."""
+    parts = learn(docs) if parts is None else parts
+    return docs.select("doc_id", "text").mapInArrow(_sites(sorted(parts.found)), SITES)
+
+
+def templates(docs: DataFrame, parts: Parts | None = None) -> DataFrame:
+    """(template, n_docs, n_slots, n_fillings): messages of the corpus as aligned, in reading form; ``{}`` is a slot, a
+    stretch of words that no part covers, and ``n_fillings`` counts what stands in the slots."""
+    parts = learn(docs) if parts is None else parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _automaton(sorted(parts.found))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if text and not text.isspace():
-                    form = reading(_BREAK.sub("", text))
-                    rows += [(doc, kind, cue) for kind, cue, sign in parts if sign in form]
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "kind", "cue"])
+                if not text or not search:
+                    continue
+                for segment, hit in _messages(text, search):
+                    kept: list[str] = []
+                    for (sign, _), h in zip(segment, hit):
+                        if h or not kept or kept[-1] != "{}":
+                            kept.append(sign if h else "{}")
+                    rows.append((doc, " ".join(kept), " ".join(s for (s, _), h in zip(segment, hit) if not h)))
+            yield _rows([("doc_id", pa.int64()), ("template", pa.string()), ("filling", pa.string())], rows)
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, template string, filling string").distinct()
+    n_slots = F.size(F.split("template", r"\{\}")) - 1
+    return found.groupBy("template").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("filling").alias("n_fillings")).select("template", "n_docs", n_slots.alias("n_slots"), "n_fillings")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, cue string")
+
+def slot_names(found: DataFrame, least: int = 2) -> DataFrame:
+    """(name): all words of variable names that unmistakable wrappers hold in at least ``least`` records, in lower
+    case."""
+    words = F.explode(F.split(F.lower(F.regexp_replace("slot", r"([a-z])([A-Z])", "$1 $2")), r"[\s._\-]+")).alias("name")
+    names = found.filter((F.col("kind") == "name") & (F.length("slot") > 0) & (F.size(F.split("slot", " ")) <= 3)).select("doc_id", words).filter(F.length("name") > 1).distinct()
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("name")
 
 
-def residue(docs: DataFrame, least: int = 2, odds: float = 0.02) -> DataFrame:
+def residue(docs: DataFrame, least: int = 2, parts: Parts | None = None) -> DataFrame:
     """(doc_id, kind, cue, slot) of the sites that are residue: names never filled in, filler, messages, notices.
 
     Rows are distinct. A printed note in single brackets, angle quotes or dollars is residue only if all its words are
-    slot names of the corpus; blanks of a coupon, rules and leader dots never are. Parts of message templates that
-    alignment adds count too, unless more than ``odds`` of the documents that hold them have no other residue: such
-    words are also the newspapers' own."""
+    slot names of the corpus; blanks of a coupon, rules and leader dots never are."""
     from ..session import cut
 
-    found = cut(sites(docs).distinct())
+    found = cut(sites(docs, parts).distinct())
     sure = found.filter(F.col("kind") != "bracket").select("doc_id", "kind", "cue", "slot")
     maybe = found.filter(F.col("kind") == "bracket").select("doc_id", "kind", "cue", "slot").distinct()
     words = maybe.select("doc_id", "cue", "slot", F.explode(F.split(F.lower("slot"), r"[\s._\-]+")).alias("name"))
     known = words.join(slot_names(found, least).withColumn("known", F.lit(1)), "name", "left")
     named = known.groupBy("doc_id", "cue", "slot").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k")).filter(F.col("n") == F.col("k"))
-    out = sure.unionByName(named.select("doc_id", F.lit("name").alias("kind"), "cue", "slot")).distinct()
-    parts = template_parts(found)
-    if parts:
-        hits = cut(part_hits(docs, parts).distinct())
-        judged = hits.join(sure.select("doc_id", F.lit(1).alias("other")).distinct(), "doc_id", "left")
-        own = judged.groupBy("kind", "cue").agg(F.count(F.lit(1)).alias("n"), F.count("other").alias("k")).filter(F.col("n") - F.col("k") <= odds * F.col("n"))
-        out = out.unionByName(hits.join(F.broadcast(own.select("kind", "cue")), ["kind", "cue"]).select("doc_id", "kind", "cue", F.lit(None).cast("string").alias("slot")))
-    return out.distinct()
+    return sure.unionByName(named.select("doc_id", F.lit("name").alias("kind"), "cue", "slot")).distinct()
 
 
 def flagged(docs: DataFrame) -> DataFrame:
@@ -242,7 +346,7 @@ def aligned(docs: DataFrame, constant: float = 0.5) -> DataFrame:
     in more than ``constant`` of the records, null where the place is a slot; ``n_words`` are its different words."""
     from ..session import cut
 
-    found = sites(docs).filter(F.col("kind").isin("name", "bracket"))
+    found = sites(docs, Parts()).filter(F.col("kind").isin("name", "bracket"))
     left = F.reverse(F.split("before", " "))
     places = found.select("doc_id", "kind", "cue", F.lit("left").alias("side"), F.posexplode(left).alias("place", "word")).unionByName(
         found.select("doc_id", "kind", "cue", F.lit("right").alias("side"), F.posexplode(F.split("after", " ")).alias("place", "word"))
