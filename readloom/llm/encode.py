@@ -1,10 +1,11 @@
 """Encoding of whole corpora with a public byte-level BPE, and decoding.
 
-Texts are cut into overlapping chunks. Every chunk is split into pre-tokens on its own; where both sides of a cut have
-the same pre-token boundary in the overlap they have resynchronised, and the pieces between such stitches are encoded
-in parallel. A stitch must lie between a character and white space after it: there every split of the whole text has a
-boundary, whatever came before, so encoded pieces put together equal the encoding of the whole text. Chunks without
-such a stitch stay joined to the one before.
+Texts are cut into overlapping chunks of a few thousand characters. Chunks are split into pre-tokens on their own; the
+first place in an overlap where the splits of both sides agree is a stitch, if it lies between two kinds of characters
+(letters, numbers, white space, others): no pre-token holds two kinds but for a space before it and the apostrophe of a
+contraction, so every split of the whole text has a boundary there, whatever came before. The pieces between stitches
+are encoded and put together; that equals the encoding of the whole text. A chunk without a stitch stays joined to the
+one before. Texts up to ``SPREAD`` are cut and encoded where they are read, the pieces of longer ones in many tasks.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 65_536
-OVERLAP = 512
-ROWS = 1000  # texts encoded at once: at most 64 MB of them
+CHUNK = 4096
+OVERLAP = 256
+SPREAD = 1 << 20  # bytes of a text whose pieces are spread over tasks
+ROWS = 64  # texts encoded at once
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -48,11 +50,41 @@ def _id_lists(found: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _encode(path: str, key: list[str], counts: bool = False):
+@lru_cache(1)
+def _patterns():
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN), regex.compile(r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}|(?<=[^\s\p{L}\p{N}'])[\s\p{L}\p{N}]|(?<=')[\s\p{N}]")
+
+
+def boundaries(text: str) -> set[int]:
+    """Places of a text where its own split has a boundary and two kinds of characters meet."""
+    split, kinds = _patterns()
+    return {m.start() for m in split.finditer(text)} & {m.start() for m in kinds.finditer(text)}
+
+
+def pieces(text: str, chunk: int, overlap: int) -> list[str]:
+    """The text cut at its stitches. Either side of a cut is split from a place of its own."""
+    starts = [0]
+    for cut in range(chunk, len(text), chunk):
+        before = cut - min(chunk, overlap)
+        left = {before + i for i in boundaries(text[before : cut + overlap])}
+        if stitch := min((cut + i for i in boundaries(text[cut : cut + overlap]) if cut + i in left), default=0):
+            starts.append(stitch)
+    return [text[a:b] for a, b in zip(starts, starts[1:] + [len(text)])]
+
+
+def _encode(path: str, key: list[str], chunk: int, overlap: int, counts: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            ids = [enc.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()]
+            ids = []
+            for text in batch.column("text").to_pylist():
+                if text and len(text) > chunk:
+                    ids.append([i for piece in pieces(text, chunk, overlap) for i in enc.encode_ordinary(piece)])
+                else:
+                    ids.append(enc.encode_ordinary(text) if text else [])
             last = pa.array([len(x) for x in ids], pa.int32()) if counts else _id_lists(ids)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), last], [*key, "ids" if not counts else "n_tokens"])
 
@@ -60,9 +92,7 @@ def _encode(path: str, key: list[str], counts: bool = False):
 
 
 def _cut(chunk: int, overlap: int):
-    """Chunks of long texts with their boundaries in the overlaps at both ends, as places in the text."""
-    import public_tokenizers
-    import regex
+    """Chunks of long texts with the boundaries in the overlaps at both ends, as places in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,14 +101,12 @@ def _cut(chunk: int, overlap: int):
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key.as_py()], pa.int64()), "k": pa.array([k], pa.int32()), "text": [text[start : start + chunk + overlap]]})
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = regex.compile(public_tokenizers.PATTERN)
         for batch in batches:
             firsts, lasts = [], []
             for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
-                sure = [m.start() for m in pattern.finditer(text) if 0 < m.start() < len(text) - 1 and text[m.start()].isspace() and not text[m.start() - 1].isspace()]
-                base = k * chunk
-                firsts.append([base + i for i in sure if i < overlap])
-                lasts.append([base + i for i in sure if i >= chunk])
+                sure, base = sorted(boundaries(text)), k * chunk
+                firsts.append([base + i for i in sure if 0 < i < overlap])
+                lasts.append([base + i for i in sure if i > chunk])
             place = lambda x: pa.array(x, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), batch.column("text"), place(firsts), place(lasts)], ["doc_id", "k", "text", "firsts", "lasts"])
 
@@ -86,42 +114,43 @@ def _cut(chunk: int, overlap: int):
 
 
 def _long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """The chunks of a text are split in many tasks; only the places of the overlaps pass the window of their text."""
     cut_up, bounds = _cut(chunk, overlap)
     chunks = docs.mapInArrow(cut_up, "doc_id long, k int, text string").repartition("doc_id", "k")
     chunks = chunks.mapInArrow(bounds, "doc_id long, k int, text string, firsts array<long>, lasts array<long>")
     order = Window.partitionBy("doc_id").orderBy("k")
-    chunks = chunks.withColumn("stitch", F.array_min(F.array_intersect(F.lag("lasts").over(order), F.col("firsts"))))
-    chunks = chunks.withColumn("piece", F.sum(F.when(F.col("stitch").isNotNull(), 1).otherwise(0)).over(order))
-    after = order.rowsBetween(1, 1)
-    chunks = chunks.withColumn("until", F.coalesce(F.first("stitch").over(after), (F.col("k") + 1).cast("long") * chunk))
+    places = chunks.select("doc_id", "k", F.array_min(F.array_intersect(F.lag("lasts").over(order), F.col("firsts"))).alias("stitch"))
+    places = places.withColumn("piece", F.sum(F.when(F.col("stitch").isNotNull(), 1).otherwise(0)).over(order))
+    places = places.withColumn("until", F.coalesce(F.first("stitch").over(order.rowsBetween(1, 1)), (F.col("k") + 1).cast("long") * chunk))
+    chunks = chunks.select("doc_id", "k", "text").join(places, ["doc_id", "k"])
     start = F.coalesce(F.col("stitch"), F.col("k").cast("long") * chunk)
     part = F.substring(F.col("text"), (start - F.col("k").cast("long") * chunk + 1).cast("int"), (F.col("until") - start).cast("int"))
-    pieces = chunks.select("doc_id", "k", "piece", part.alias("text")).groupBy("doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
-    ids = pieces.mapInArrow(_encode(path, ["doc_id", "piece"]), "doc_id long, piece long, ids array<int>")
+    found = chunks.select("doc_id", "k", "piece", part.alias("text")).groupBy("doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
+    ids = found.mapInArrow(_encode(path, ["doc_id", "piece"], 1 << 31, 0), "doc_id long, piece long, ids array<int>")
     return ids.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """(doc_id, ids array<int>) of every document. Null and empty texts have the empty list.
 
-    A text within ``chunk`` bytes is one chunk and is encoded where it is read. Longer ones are spread over tasks.
-    Rows with the same doc_id: short ones are each encoded; long ones must have one row per doc_id, as doc_id is a key.
+    Rows with the same doc_id: those up to ``spread`` bytes are each encoded; longer ones must have one row per doc_id, as
+    doc_id is a key. The second read of the text column for these costs less than writing all ids once more would.
     """
     path = path or vocabulary()
     docs = docs.select("doc_id", "text")
-    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= chunk
-    ids = docs.filter(short).mapInArrow(_encode(path, ["doc_id"]), "doc_id long, ids array<int>")
-    return ids.unionByName(_long(docs.filter(~short), path, chunk, overlap))
+    usual = F.coalesce(F.octet_length("text"), F.lit(0)) <= spread
+    ids = docs.filter(usual).mapInArrow(_encode(path, ["doc_id"], chunk, overlap), "doc_id long, ids array<int>")
+    return ids.unionByName(_long(docs.filter(~usual), path, chunk, overlap))
 
 
-def count_tokens(docs: DataFrame, *keep: str, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(docs: DataFrame, *keep: str, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """``keep`` (with doc_id first) and n_tokens of every document, 0 for null and empty texts."""
     path = path or vocabulary()
-    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= chunk
+    usual = F.coalesce(F.octet_length("text"), F.lit(0)) <= spread
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    counted = docs.filter(short).select(*keep, "text").mapInArrow(_encode(path, list(keep), counts=True), f"{kept}, n_tokens int")
-    rest = _long(docs.filter(~short).select("doc_id", "text"), path, chunk, overlap).select("doc_id", F.size("ids").alias("n_tokens"))
-    return counted.unionByName(docs.filter(~short).select(*keep).join(rest, "doc_id").select(*keep, "n_tokens"))
+    counted = docs.filter(usual).select(*keep, "text").mapInArrow(_encode(path, list(keep), chunk, overlap, counts=True), f"{kept}, n_tokens int")
+    rest = _long(docs.filter(~usual).select("doc_id", "text"), path, chunk, overlap).select("doc_id", F.size("ids").alias("n_tokens"))
+    return counted.unionByName(docs.filter(~usual).select(*keep).join(rest, "doc_id").select(*keep, "n_tokens"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -12,17 +12,36 @@ def expected(text):
     return encode.encoding(encode.vocabulary()).encode_ordinary(text) if text else []
 
 
+@pytest.mark.parametrize("spread", [encode.SPREAD, 100])
 @pytest.mark.parametrize("chunk,overlap", [(encode.CHUNK, encode.OVERLAP), (200, 40), (64, 16), (37, 9)])
-def test_chunks_equal_whole_texts(spark, chunk, overlap):
+def test_chunks_equal_whole_texts(spark, chunk, overlap, spread):
     rng = random.Random(chunk)
     texts = TEXTS + ["".join(rng.choice(["word", " ", "  ", "\n", "7", "é", "'s", "-", "🙂", "ﬁn "]) for _ in range(rng.randrange(900))) for _ in range(25)]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], SCHEMA)
-    got = {r["doc_id"]: r["ids"] for r in encode.encode(df, chunk=chunk, overlap=overlap).collect()}
+    got = {r["doc_id"]: r["ids"] for r in encode.encode(df, chunk=chunk, overlap=overlap, spread=spread).collect()}
     assert got == {i: expected(t) for i, t in enumerate(texts)}
-    n = {r["doc_id"]: r["n_tokens"] for r in encode.count_tokens(df, "doc_id", chunk=chunk, overlap=overlap).collect()}
+    n = {r["doc_id"]: r["n_tokens"] for r in encode.count_tokens(df, "doc_id", chunk=chunk, overlap=overlap, spread=spread).collect()}
     assert n == {i: len(x) for i, x in got.items()}
 
 
+def test_pieces_of_mixed_text():
+    rng = random.Random(3)
+    enc = encode.encoding(encode.vocabulary())
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "'s", "'", "''", "l", " ", "  ", "\n", "7", "44", "é", "-", "…", "🙂", "字", "'re", "d"]) for _ in range(rng.randrange(120)))
+        got = encode.pieces(text, 11, 7)
+        assert "".join(got) == text and [i for x in got for i in enc.encode_ordinary(x)] == enc.encode_ordinary(text)
+
+
+def test_a_million_characters_without_white_space(spark):
+    """Such a text has stitches where kinds of characters meet, and its pieces are encoded in several tasks."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/字") for _ in range(1_100_000))
+    assert len(encode.pieces(text, encode.CHUNK, encode.OVERLAP)) > 200
+    got = encode.encode(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"))
+    assert {r["doc_id"]: r["ids"] for r in got.collect()} == {1: expected(text), 2: expected("short")}
+
+
 def test_agrees_with_the_other_library():
     import public_tokenizers
     from tokenizers import Tokenizer
