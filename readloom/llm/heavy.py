@@ -12,6 +12,7 @@ whatever the number of distinct values. Cells merge by vote cancellation:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -87,16 +88,22 @@ def vote_cells(values: DataFrame, width: int = 4096) -> DataFrame:
     )
 
 
-def heavy_values(values: DataFrame, share: float, width: int = 4096) -> DataFrame:
+def sketch_width(share: float) -> int:
+    """Cells per row of the sketch: 4096, or 32 / ``share`` for smaller shares, as a power of 2."""
+    return max(4096, 1 << ceil(log2(32 / share)))
+
+
+def heavy_values(values: DataFrame, share: float, width: int | None = None) -> DataFrame:
     """(src, val, n_rows, lower, upper): candidates that may hold ``share`` of the rows of their source.
 
-    ``lower <= true count <= upper`` always holds; every value with at least ``share`` of the rows is there as long as
-    it is a majority in one of its ``DEPTH`` cells, which a share above a few times 1 / width makes certain in
-    practice. Null values count nowhere; an empty table gives no rows; ties and repeated rows are just counts.
+    ``lower <= true count <= upper`` always holds. A value with ``share`` of the rows is missed only if the others in each
+    of its ``DEPTH`` cells have as many rows: a cell gets 1 / width of them on average, so by Markov's inequality the
+    chance is at most (1 / (width * share)) ** DEPTH, a millionth at the default ``sketch_width``. Null values count nowhere; an empty table gives no rows; ties and repeated rows are just counts.
     ``share`` of the rows and the number of sources bound the cells, and with them everything that is broadcast.
     """
     from ..session import cut
 
+    width = width or sketch_width(share)
     cells = cut(vote_cells(values, width))  # DEPTH * width rows per source at most
     total = cells.filter(F.col("depth") == 0).groupBy("src").agg(F.sum("total").alias("n_rows"))
     found = cells.filter(F.col("surplus") > 0).join(F.broadcast(total), "src").filter(F.col("total") + F.col("surplus") >= 2 * F.lit(share) * F.col("n_rows"))
@@ -111,7 +118,7 @@ def heavy_values(values: DataFrame, share: float, width: int = 4096) -> DataFram
     return bounds.filter(F.col("upper") >= F.lit(share) * F.col("n_rows"))
 
 
-def heavy_counts(values: DataFrame, share: float, width: int = 4096) -> DataFrame:
+def heavy_counts(values: DataFrame, share: float, width: int | None = None) -> DataFrame:
     """(src, val, n): the values that hold at least ``share`` of their source's rows, with exact counts.
 
     A second pass counts the sketch's candidates only; there are at most 1 / share + a few of them per source.

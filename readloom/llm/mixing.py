@@ -68,7 +68,7 @@ def source_sizes(counted: DataFrame, targets: DataFrame) -> DataFrame:
     return have.join(wanted, "source", "full").na.fill({"tokens": 0, "docs": 0, "target_share": 0.0, "max_repeats": 0})
 
 
-def mixture(counted: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
+def mixture(counted: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 7, blocks: int = BLOCKS, entropy_at_most: float | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, repeats): how often each document is used, 1 or more.
 
     ``counted`` has doc_id, source and n_tokens; a null source and one without target are used nowhere. Documents of 0
@@ -85,7 +85,7 @@ def mixture(counted: DataFrame, targets: DataFrame, budget: float | None = None,
     sizes = {r[0]: r[1] for r in sums.groupBy("source").agg(F.sum("block_tokens")).collect()}
     wanted = [(r["source"], int(sizes.get(r["source"], 0)), float(r["target_share"] or 0.0), int(r["max_repeats"] or 0)) for r in targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()]
     spark = counted.sparkSession
-    quota = [(s, int(q // n), float(q - (q // n) * n)) for s, n, _, _, _, q in plan(wanted, budget) if n > 0 and q > 0]
+    quota = [(s, int(q // n), float(q - (q // n) * n)) for s, n, _, _, _, q in plan(wanted, budget, entropy_at_most) if n > 0 and q > 0]
     quota = F.broadcast(spark.createDataFrame(quota, "source string, rounds int, rest double"))
     order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     cuts = sums.join(quota, "source").withColumn("upto", F.sum("block_tokens").over(order))
@@ -98,6 +98,33 @@ def mixture(counted: DataFrame, targets: DataFrame, budget: float | None = None,
     return used.select("doc_id", "source", "n_tokens", (F.col("rounds") + F.col("more")).alias("repeats")).filter(F.col("repeats") > 0)
 
 
+def ordered(mix: DataFrame, seed: int = 7, per_block: int = 4096) -> DataFrame:
+    """(epoch, block, place, doc_id, source, n_tokens): the mixture as block permutations, one row per use of a document.
+
+    Each epoch deals its documents to blocks and orders every block by hashes of its own, so reading epoch by epoch and
+    block by block is a permutation in which a document comes at most once per epoch. ``block`` is as many as make
+    about ``per_block`` documents each, so no window orders more than a block."""
+    from ..session import cut
+
+    mix = cut(mix)
+    used = mix.count()
+    blocks = max(1, -(-used // per_block))
+    rows = mix.select(F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("epoch"), "doc_id", "source", "n_tokens")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "epoch", "doc_id"), F.lit(blocks)).cast("int"))
+    order = Window.partitionBy("epoch", "block").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "doc_id"), "doc_id", "source")
+    return rows.select("epoch", "block", F.row_number().over(order).alias("place"), "doc_id", "source", "n_tokens")
+
+
+def kept(shares: DataFrame, targets: DataFrame, slack: float = 0.01) -> DataFrame:
+    """(source, within_limit, near_target) of ``reached``: no document is used more often than the source may repeat, and
+    the share is within ``slack`` of the target taken over the sources that have documents."""
+    limits = targets.groupBy("source").agg(F.max("max_repeats").alias("limit"))
+    have = F.sum(F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)).over(Window.partitionBy(F.lit(1)))  # one row per source
+    near = F.abs(F.col("actual_share") - F.when(F.col("tokens") > 0, F.col("target_share") / have).otherwise(0.0)) <= slack
+    out = shares.withColumn("near_target", near).join(limits, "source")
+    return out.select("source", (F.col("most_repeats") <= F.col("limit")).alias("within_limit"), "near_target")
+
+
 def reached(mix: DataFrame, sizes: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, used_tokens, used_docs, most_repeats) for every source."""
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count(F.lit(1)).alias("used_docs"), F.max("repeats").alias("most_repeats"))

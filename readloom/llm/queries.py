@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,14 @@ def p3_bounds(s: SparkSession, d: str) -> DataFrame:
     return heavy.heavy_values(_values(s, d), 0.01)
 
 
+def p3_intervals(s: SparkSession, d: str) -> DataFrame:
+    """The heavy values with their exact counts and whether the sketch's bounds hold them."""
+    values = _values(s, d)
+    bounds = heavy.heavy_values(values, 0.01).select("src", "val", "lower", "upper")
+    got = heavy.heavy_counts(values, 0.01).join(bounds, ["src", "val"], "left")
+    return got.select("src", "val", "n", F.coalesce((F.col("lower") <= F.col("n")) & (F.col("n") <= F.col("upper")), F.lit(False)).alias("covered"))
+
+
 def _entries(s: SparkSession, d: str) -> DataFrame:
     return spans.records(table(s, d, "mm_db", "edge", "p", "mm"), table(s, d, "mm_align", "edge", "pos", "mm"))
 
@@ -96,14 +105,50 @@ def p8_shares(s: SparkSession, d: str) -> DataFrame:
     return mixing.reached(mixing.mixture(counted, targets), mixing.source_sizes(counted, targets))
 
 
-def p8_temperature(s: SparkSession, d: str) -> DataFrame:
-    """The weights at the least exponent that uses as many tokens as all documents have."""
+def _planned(s: SparkSession, d: str, **how) -> tuple[DataFrame, DataFrame, list[tuple]]:
+    """Counted documents, targets and the plan for as many tokens as the documents of the sources have."""
     from ..session import cut
 
     counted, targets = cut(_counted(s, d)), table(s, d, "mix_targets")
     sizes = mixing.source_sizes(counted, targets).collect()  # one row per source
-    rows = mixing.plan([(r["source"], r["tokens"], r["target_share"], r["max_repeats"]) for r in sizes], budget=sum(r["tokens"] for r in sizes))
-    return s.createDataFrame(rows, "source string, tokens long, target_share double, max_repeats int, weight double, quota double")
+    rows = [(r["source"], r["tokens"], r["target_share"], r["max_repeats"]) for r in sizes]
+    return counted, targets, mixing.plan(rows, budget=sum(r["tokens"] for r in sizes if r["target_share"] > 0), **how)
+
+
+PLAN = "source string, tokens long, target_share double, max_repeats int, weight double, quota double"
+
+
+def p8_temperature(s: SparkSession, d: str) -> DataFrame:
+    """The weights at the least exponent that uses as many tokens as all documents have."""
+    return s.createDataFrame(_planned(s, d)[2], PLAN)
+
+
+def p8_entropy(s: SparkSession, d: str) -> DataFrame:
+    """The weights for the same budget whose entropy is at most nine tenths of that of equal weights."""
+    targets = table(s, d, "mix_targets").filter("target_share > 0").select("source").distinct().count()
+    return s.createDataFrame(_planned(s, d, entropy_at_most=0.9 * log(max(targets, 2)))[2], PLAN)
+
+
+def p8_tempered(s: SparkSession, d: str) -> DataFrame:
+    """The mixture that those weights give: limits force the exponent above 0."""
+    counted, targets, plan = _planned(s, d)
+    return mixing.mixture(counted, targets, budget=sum(r[1] for r in plan if r[2] > 0))
+
+
+def p8_tempered_shares(s: SparkSession, d: str) -> DataFrame:
+    counted, targets, plan = _planned(s, d)
+    mix = mixing.mixture(counted, targets, budget=sum(r[1] for r in plan if r[2] > 0))
+    return mixing.reached(mix, mixing.source_sizes(counted, targets))
+
+
+def p8_order(s: SparkSession, d: str) -> DataFrame:
+    """The exact-target mixture as block permutations, one row per use."""
+    return mixing.ordered(p8_mixture(s, d))
+
+
+def p8_limits(s: SparkSession, d: str) -> DataFrame:
+    """Whether each source of ``p8_shares`` keeps its limit and has its target share."""
+    return mixing.kept(p8_shares(s, d), table(s, d, "mix_targets"))
 
 
 def p9_found(s: SparkSession, d: str) -> DataFrame:
@@ -122,7 +167,7 @@ def p9_messages(s: SparkSession, d: str) -> DataFrame:
     return residue.templates(table(s, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p4_found, p4_shared, p6_found, p6_estimates, p6_intervals, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_temperature, p9_found, p9_sites, p9_templates, p9_messages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_bounds, p3_intervals, p4_found, p4_shared, p6_found, p6_estimates, p6_intervals, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_limits, p8_order, p8_temperature, p8_entropy, p8_tempered, p8_tempered_shares, p9_found, p9_sites, p9_templates, p9_messages)}
 
 _SETS = """
 with m as (
@@ -164,9 +209,11 @@ SQL: dict[str, str] = {
     l as (select src, e1 as id, e2 as o from pairs union all select src, e2, e1 from pairs)
     select k.src, k.id, k.class_id, count(l.o) as n_links from k left join l on l.src = k.src and l.id = k.id group by 1, 2, 3""",
     "p3_found": _VALUES + "select v.src, val from v join n on v.src = n.src group by v.src, val, n_rows having count(*) * 100 >= n_rows",
+    "p3_intervals": _VALUES + "select v.src, val, count(*) as n, true as covered from v join n on v.src = n.src group by v.src, val, n_rows having count(*) * 100 >= n_rows",
     "p4_found": _SPANS + "select o.edge, cast(o.p as integer) as p from hit join o on o.edge = hit.edge and o.i = hit.i",
     "p4_shared": _SPANS + "select o.edge, count(*) as n_entries, count(hit.i) as n_shared from o left join hit on o.edge = hit.edge and o.i = hit.i group by 1",
     "p6_found": _COV + "select e1, e2 from c join n x on x.edge = e1 join n y on y.edge = e2 where c >= 0.3 * least(x.n, y.n)",
     "p6_intervals": _COV + "select e1, e2, c as shared, true as covered from c join n x on x.edge = e1 join n y on y.edge = e2 where c >= 0.3 * least(x.n, y.n)",
+    "p8_limits": "select distinct source, true as within_limit, true as near_target from mix_targets",
     "p7_round_trip": "select doc_id, true as same from documents",
 }

@@ -52,6 +52,19 @@ def test_repeatable_and_spread_over_partitions(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_order_is_a_permutation_per_epoch(spark):
+    used, _ = run(spark, corpus(4))
+    mix = spark.createDataFrame([tuple(r) for r in used], "doc_id long, source string, n_tokens int, repeats int")
+    rows = mixing.ordered(mix, per_block=50).collect()
+    assert len(rows) == sum(r["repeats"] for r in used)
+    assert len({(r["epoch"], r["doc_id"]) for r in rows}) == len(rows)
+    for key in {(r["epoch"], r["block"]) for r in rows}:
+        assert sorted(r["place"] for r in rows if (r["epoch"], r["block"]) == key) == list(range(1, 1 + sum((r["epoch"], r["block"]) == key for r in rows)))
+    again = mixing.ordered(mix.orderBy("n_tokens"), per_block=50).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert mixing.ordered(mix.limit(0)).collect() == []
+
+
 def test_exponent():
     sources = [("a", 900, 0.5, 1), ("b", 100, 0.5, 1)]
     assert [round(x[4], 6) for x in mixing.plan(sources)] == [0.5, 0.5]
