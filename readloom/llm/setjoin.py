@@ -1,23 +1,29 @@
-"""All pairs of records whose sets overlap above a Jaccard threshold, by T-occurrence list merging.
+"""All pairs of records whose sets of values overlap above a Jaccard threshold, by T-occurrence list merging.
 
 Tokens are ordered from rare to common. Tokens that only one record has can't be shared; they count for the size of
-their set and go nowhere. Two sets above the threshold share one of the first ``n - ceil(t n) + 1`` tokens of each, so
-a record is sent to the shards of these tokens only. A shard builds inverted lists of its records and probes them with
-each record (``probe``): the longest lists are set aside, the others are merged with a heap that skips what cannot
-reach the required number any more, and candidates are looked up in the long lists by binary search.
+their set and go nowhere. Two sets above the threshold share one of the first ``n - ceil(t n) + 1`` tokens of each, the
+head, and ``T`` of the first ``n - ceil(t n) + T``. A record is sent to the shards of its head's tokens, and only the
+latter prefix goes along. A shard builds inverted lists of these prefixes and probes them with each record (``probe``):
+the longest lists are set aside, the others are merged with a heap that skips what cannot reach ``T`` any more, and
+candidates are looked up in the long lists by binary search. Pairs that could still reach the threshold are checked
+exactly by a join with their sets. Shards are bounded in bytes; a token whose prefixes exceed the bound is split.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from heapq import heapify, heappop, heappush
 from math import log2
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 20_000  # records of one token that are probed against one another in one place
+OCCUR = 4  # T
+SHARD = 16 << 20  # bytes of prefixes in a shard
+FEW = 100_000  # rows of a side, counted before it is broadcast
 
 
 def need(n: Column, num: int, den: int) -> Column:
@@ -44,23 +50,24 @@ def _sizes(m: DataFrame, rows: int) -> DataFrame:
     return _longer(m, rows).groupBy("src", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked(sets: DataFrame) -> DataFrame:
-    """(src, id, n, unique, toks): tokens from rare to common, without those of one record, whose number is ``unique``.
+def ranked(m: DataFrame, salts: int = 64) -> DataFrame:
+    """(src, id, n, unique, ranked): each set's tokens from rare to common as (df, tok), without those of one record, whose
+    number is ``unique``. ``m(src, id, tok)`` may repeat rows.
 
-    The number of records per token comes by a join on the token; tokens in more than 1/4096 of all memberships are at
-    most 4096 and are broadcast, so that no token is a hot join key.
+    The rows are shuffled by token once, where repeats drop out and records are counted, and by set once. Tokens in more
+    than 1/4096 of all rows are at most 4096; they are broadcast and spread over ``salts`` places each, and their rows
+    stand for their records in the order.
     """
     from ..session import cut
 
-    flat = sets.select("src", "id", "n", F.explode("toks").alias("tok"))
-    df = cut(flat.groupBy("src", "tok").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1))
-    limit = max(64, (df.agg(F.sum("df")).first()[0] or 0) // 4096)
-    common = F.broadcast(df.filter(F.col("df") > limit).withColumnRenamed("df", "cdf"))
-    tail = df.filter(F.col("df") <= limit)
-    flat = flat.join(common, ["src", "tok"], "left")
-    known = flat.filter(F.col("cdf").isNotNull()).select("src", "id", "n", "tok", F.col("cdf").alias("df"))
-    known = known.unionByName(flat.filter(F.col("cdf").isNull()).drop("cdf").join(tail, ["src", "tok"]).select("src", "id", "n", "tok", "df"))
-    sets = known.groupBy("src", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ranked"))
+    rows = cut(m.groupBy("src", "tok").agg(F.count(F.lit(1)).alias("rows")))
+    limit = max(64, (rows.agg(F.sum("rows")).first()[0] or 0) // 4096)
+    common = F.broadcast(rows.filter(F.col("rows") > limit))
+    keyed = m.join(common, ["src", "tok"], "left").withColumn("salt", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(salts))).cast("int"))
+    keyed = keyed.repartition("src", "tok", "salt").dropDuplicates(["src", "tok", "salt", "id"])
+    df = F.coalesce("rows", F.count(F.lit(1)).over(Window.partitionBy("src", "tok", "salt")))
+    one = keyed.select("src", "id", "tok", df.alias("df")).groupBy("src", "id")
+    sets = one.agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "tok")))).alias("ranked"))
     return sets.withColumn("unique", F.col("n") - F.size("ranked"))
 
 
@@ -120,85 +127,113 @@ def probe(lists: list[list[int]], want: int, low: int, high: int) -> list[int]:
 PAIRS = "src string, id1 long, id2 long"
 
 
-def _shard(num: int, den: int):
+def _shard(num: int, den: int, occur: int):
+    """Candidates of a shard: rows (src, id, n, rest, head, prefix), ``rest`` being the shared tokens after the prefix."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         src = table["src"][0].as_py()
         left, right = (table[c][0].as_py() for c in ("part1", "part2"))
-        ids, sizes, parts = table["id"].to_pylist(), table["n"].to_pylist(), table["part"].to_pylist()
-        toks, heads = table["toks"].to_pylist(), table["heads"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
-        ns = [sizes[i] for i in order]
-        sets = [toks[i] for i in order]
-        parts = [parts[i] for i in order]
-        head: dict[int, int] = {}
-        for i in order:
-            for t in heads[i]:
-                head[t] = head.get(t, 0) + 1
-        index: dict[int, list[int]] = {}
-        place = [{t: k for k, t in enumerate(s)} for s in sets]
+        ids, ns, rest, parts = (table[c].to_numpy() for c in ("id", "n", "rest", "part"))
+        order = np.lexsort((ids, ns))
+        ids, ns, rest, parts = ids[order], ns[order].tolist(), rest[order].tolist(), parts[order].tolist()
+        prefixes = table["prefix"].chunk(0).take(pa.array(order))
+        heads = table["head"].chunk(0).take(pa.array(order))
+        lens = prefixes.value_lengths().to_numpy()
+        flat = prefixes.flatten().to_numpy()
+        starts = np.r_[0, np.cumsum(lens)]
+        names, codes = np.unique(flat, return_inverse=True)
+        by_token = np.argsort(codes, kind="stable")
+        at = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(names)))].tolist()
+        holders = memoryview(array("q", np.repeat(np.arange(len(ids)), lens)[by_token].tobytes()))
+        codes = memoryview(array("q", codes.astype(np.int64).tobytes()))
+        head_lens = heads.value_lengths().to_numpy()
+        head_codes = np.searchsorted(names, heads.flatten().to_numpy())
+        head_starts = np.r_[0, np.cumsum(head_lens)].tolist()
+        several = np.bincount(head_codes, minlength=len(names)) > 1
+        mine_head = head_codes.tolist()
         one, two = [], []
-        for r, i in enumerate(order):
-            mine = sets[r]
-            if any(head[t] > 1 for t in heads[i]):
-                n = ns[r]
-                want = (n * num + den - 1) // den  # members of the smallest possible partner
-                low = bisect_left(ns, want)
-                lists = [index[t] for t in mine if t in index]
-                if len(lists) >= want and low < r:
-                    for s in probe(lists, want, low, r):
-                        other = place[s]
-                        both = [t for t in mine if t in other]
-                        c = len(both)
-                        if c * den >= (n + ns[s] - c) * num and (left == right or parts[s] != parts[r]):
-                            # the pair belongs to the shard of its rarest common token
-                            if both[0] in heads[i] and both[0] in heads[order[s]]:
-                                a, b = ids[order[s]], ids[i]
-                                one.append(min(a, b))
-                                two.append(max(a, b))
-            for t in mine:
-                index.setdefault(t, []).append(r)
+        for r in range(len(ids)):
+            own = mine_head[head_starts[r] : head_starts[r + 1]]
+            n = ns[r]
+            want = (n * num + den - 1) // den  # members of the smallest possible partner, and common ones at least
+            low = bisect_left(ns, want)
+            if low >= r or not any(several[t] for t in own):
+                continue
+            mine = codes[starts[r] : starts[r + 1]]
+            need_r = min(occur, want)
+            lists = [holders[at[t] : at[t + 1]] for t in mine if at[t + 1] - at[t] > 1]
+            if len(lists) < need_r:
+                continue
+            known, own = set(mine), set(own)
+            for s in probe(lists, need_r, low, r):
+                if left != right and parts[s] == parts[r]:
+                    continue
+                both = [t for t in codes[starts[s] : starts[s + 1]] if t in known]
+                most = len(both) + max(rest[r], rest[s])  # tokens of one prefix may stand in the other's rest
+                if most * den < (n + ns[s] - most) * num:
+                    continue
+                # the pair belongs to the shard of its rarest common token
+                if both[0] in own and both[0] in mine_head[head_starts[s] : head_starts[s + 1]]:
+                    one.append(min(ids[s], ids[r]))
+                    two.append(max(ids[s], ids[r]))
         return pa.table({"src": pa.array([src] * len(one), pa.string()), "id1": pa.array(one, pa.int64()), "id2": pa.array(two, pa.int64())})
 
     return run
 
 
-def similar_classes(members: DataFrame, num: int = 6, den: int = 10, giant: int = 200_000, per_shard: int = 20_000, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The candidates whose sets reach the threshold: one join per side with the shared tokens of the sets."""
+    side = lambda c: sets.select("src", F.col("id").alias(f"id{c}"), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}"))
+    both = pairs.join(side(1), ["src", "id1"]).join(side(2), ["src", "id2"]).withColumn("c", F.size(F.array_intersect("t1", "t2")))
+    return both.filter(F.col("c") * den >= (F.col("n1") + F.col("n2") - F.col("c")) * num).select("src", "id1", "id2")
+
+
+def similar_classes(members: DataFrame, num: int = 6, den: int = 10, giant: int = 200_000, shard_bytes: int = SHARD, occur: int = OCCUR) -> tuple[DataFrame, DataFrame]:
     """Pairs (src, id1, id2) of representatives with Jaccard >= num/den, and (src, id, rep) for each set.
 
     ``members(src, id, tok)`` may repeat rows; null ids and tokens are none, so a set without tokens doesn't exist and
     is similar to nothing. Equal sets form one class, represented by their least id; exactly the threshold counts.
-    ids and tokens are bigints. No partner is dropped: a token held by more than ``block`` records has its records
-    split into blocks which are probed pair by pair of blocks.
+    ids and tokens are bigints. No partner is dropped: a token whose records' prefixes have more than ``shard_bytes`` has
+    its records split into blocks which are probed pair by pair of blocks.
     """
     from ..session import cut, shuffle_width
 
     m, big = memberships(members, giant)
     is_big = not big.isEmpty()
     small = m.join(F.broadcast(big), ["src", "id"], "left_anti") if is_big else m
-    sets = cut(small.groupBy("src", "id").agg(F.collect_set("tok").alias("toks")).withColumn("n", F.size("toks")))
-    all_ids = sets.select("src", "id")
-    rank = ranked(sets)
+    rank = ranked(small)
     length = F.col("n") - need(F.col("n"), num, den) + 1 - F.col("unique")
-    rank = rank.withColumn("prefix", length.cast("int")).filter(F.col("prefix") > 0)
-    # equal sets: only those without a token of their own can be
-    rank = rank.groupBy("src", "n", "unique", "prefix", "ranked", F.when(F.col("unique") > 0, F.col("id")).alias("_own")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    rank = cut(rank.select("src", F.col("rep").alias("id"), "n", "prefix", "ranked", "copies"))
-    copies = rank.filter(F.col("copies") > 1).select("src", F.col("id").alias("rep"), "n", F.col("ranked.tok").alias("_toks"))
-    key = F.array_sort("toks")
-    twins = sets.select("src", "id", "n", key.alias("_toks")).join(copies.withColumn("_toks", F.array_sort("_toks")), ["src", "n", "_toks"]).select("src", "id", "rep")
-    total = rank.agg(F.sum("prefix")).first()[0] or 0
-    shards = max(1, min(64, 2 * shuffle_width(members.sparkSession)), total // per_shard)
-    shard_of = lambda r: F.pmod(F.xxhash64(r["tok"]), F.lit(shards))
-    head = F.slice("ranked", 1, F.col("prefix"))
-    rank = rank.select("src", "id", "n", F.col("ranked.tok").alias("toks"), F.filter(head, lambda r: r["df"] <= block).alias("usual"), F.filter(head, lambda r: r["df"] > block).alias("crowded"))
-    usual = rank.select("src", "id", "n", "toks", "usual", F.explode(F.array_distinct(F.transform("usual", shard_of))).alias("shard"))
-    usual = usual.select("src", "id", "n", "toks", F.transform(F.filter("usual", lambda r: shard_of(r) == F.col("shard")), lambda r: r["tok"]).alias("heads"), "shard", F.lit(-1).alias("part1"), F.lit(-1).alias("part2"), F.lit(0).alias("part"))
-    crowded = rank.select("src", "id", "n", "toks", F.explode("crowded").alias("r")).withColumn("blocks", F.ceil(F.col("r.df") / block).cast("int"))
-    crowded = crowded.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    crowded = crowded.select("src", "id", "n", "toks", F.array("r.tok").alias("heads"), F.col("r.tok").alias("shard"), F.least("part", "other").alias("part1"), F.greatest("part", "other").alias("part2"), "part")
-    sent = usual.unionByName(crowded)
-    pairs = sent.groupBy("src", "shard", "part1", "part2").applyInArrow(_shard(num, den), PAIRS)
+    # only sets without a token of their own can be equal; a digest of their tokens stands for them
+    digest = F.when(F.col("unique") == 0, F.sha2(F.array_join(F.transform("ranked", lambda r: r["tok"].cast("string")), ","), 256))
+    sets = cut(rank.select("src", "id", "n", length.cast("int").alias("length"), "ranked", digest.alias("digest")))
+    all_ids = sets.select("src", "id")
+    same = sets.filter("digest is not null").groupBy("src", "n", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("src", "digest", "rep")
+    twins = cut(sets.select("src", "id", "digest").join(same, ["src", "digest"]).select("src", "id", "rep"))
+    copies = twins.filter(F.col("id") != F.col("rep")).select("src", "id")
+    one = sets.join(copies, ["src", "id"], "left_anti").filter("length > 0")
+    one = one.select("src", "id", "n", F.slice("ranked.tok", 1, F.col("length")).alias("head"), F.slice("ranked.tok", 1, F.col("length") + occur - 1).alias("prefix"), F.col("ranked.tok").alias("toks"))
+    one = cut(one.withColumn("rest", F.size("toks") - F.size("prefix")))
+    weight = (F.size("prefix") * 8 + 64).cast("long")
+    heads = one.select("src", F.explode("head").alias("tok"), weight.alias("weight")).groupBy("src", "tok").agg(F.sum("weight").alias("weight"))
+    crowd = cut(heads.filter(F.col("weight") > shard_bytes).select("src", "tok", F.ceil(F.col("weight") / shard_bytes).cast("int").alias("blocks")))
+    total = one.agg(F.sum(weight * F.size("head"))).first()[0] or 0
+    shards = max(1, min(64, 2 * shuffle_width(members.sparkSession)), total // shard_bytes)
+    sent = one
+    n_crowd = crowd.count()
+    if n_crowd:
+        split = one.select("src", "id", "n", "rest", "prefix", F.explode("head").alias("tok")).join(F.broadcast(crowd) if n_crowd <= FEW else crowd, ["src", "tok"])
+        held = split.groupBy("src", "id").agg(F.collect_list("tok").alias("crowded"))
+        sent = one.join(held, ["src", "id"], "left").withColumn("head", F.when(F.col("crowded").isNull(), F.col("head")).otherwise(F.array_except("head", "crowded")))
+        split = split.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        split = split.select("src", "id", "n", "rest", "prefix", F.array("tok").alias("head"), F.col("tok").alias("shard"), F.least("part", "other").alias("part1"), F.greatest("part", "other").alias("part2"), "part")
+    shard_of = lambda t: F.pmod(F.xxhash64(t), F.lit(shards))
+    sent = sent.select("src", "id", "n", "rest", "prefix", "head", F.explode(F.array_distinct(F.transform("head", shard_of))).alias("shard"))
+    sent = sent.select("src", "id", "n", "rest", "prefix", F.filter("head", lambda t: shard_of(t) == F.col("shard")).alias("head"), "shard", F.lit(-1).alias("part1"), F.lit(-1).alias("part2"), F.lit(0).alias("part"))
+    if n_crowd:
+        sent = sent.unionByName(split)
+    found = sent.groupBy("src", "shard", "part1", "part2").applyInArrow(_shard(num, den, occur), PAIRS)
+    pairs = _checked(cut(found.distinct()), one, num, den)
     if is_big:
         met = cut(_giant_pairs(m, big, num, den))
         equal = met.filter("same").groupBy("src", F.col("id2").alias("id")).agg(F.min("id1").alias("rep"))

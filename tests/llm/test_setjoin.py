@@ -41,10 +41,20 @@ def test_pairs_against_brute_force(spark, seed):
 
 def test_crowded_tokens_are_probed_in_blocks(spark):
     sets = sample(1, 120)
-    got = {tuple(r) for r in setjoin.similar_pairs(members(spark, sets), block=7).collect()}
+    got = {tuple(r) for r in setjoin.similar_pairs(members(spark, sets), shard_bytes=600).collect()}
     assert got == brute(sets)
 
 
+def test_large_sets_in_small_shards(spark):
+    """Hundreds of sets with thousands of common members each: shards stay within their bytes and nothing is lost."""
+    rng = random.Random(11)
+    base = [rng.sample(range(20_000), 1500) for _ in range(30)]
+    sets = {("a", i): set(rng.sample(base[i % 30], 1300)) | {rng.randrange(20_000) for _ in range(rng.choice([20, 300]))} for i in range(240)}
+    got = {tuple(r) for r in setjoin.similar_pairs(members(spark, sets), shard_bytes=1 << 20).collect()}
+    want = brute(sets)
+    assert want and got == want
+
+
 def test_giant_sets_are_joined_as_relations(spark):
     sets = sample(2, 60) | {("a", 5000): set(range(100, 160)), ("a", 5001): set(range(95, 158)), ("a", 5002): set(range(100, 140))}
     got = {tuple(r) for r in setjoin.similar_pairs(members(spark, sets), giant=41).collect()}
