@@ -84,20 +84,28 @@ def component_sizes(contigs: DataFrame) -> DataFrame:
 
 def list_positions(follows: DataFrame) -> DataFrame:
     """(id, head, pos, is_cycle) for lists given by ``follows(id, prev)``, prev null at a head, one prev and one next at
-    most per id. Pointer doubling: after round r every id knows who stands 2^r places before it. An id on a cycle has
-    the cycle's least id as head and no place (pos -1)."""
+    most per id. Pointer doubling: after round r every id knows who stands 2^r places before it; an id that has reached
+    its head leaves the rounds. An id on a cycle has the cycle's least id as head and no place (pos -1)."""
     now = cut(follows.select("id", F.col("prev").alias("jump"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("pos"), F.coalesce(F.least("id", "prev"), F.col("id")).alias("low"), F.coalesce("prev", "id").alias("head")))
+    done = None
     last = None
     while True:
+        ended = now.filter("jump is null")
+        open_ids = now.filter("jump is not null")
         # each round ends some open list as long as there is one; then the least ids of rings still have to settle
-        left = now.filter("jump is not null").agg(F.count(F.lit(1)), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()
+        left = open_ids.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()
+        known = ended.select("id", "head", "pos")
+        done = known if done is None else done.unionByName(known)
         if not left[0] or left == last:
             break
         last = left
+        # an open id's target is open, or it ended in this round or the one before, as both moved in step
         to = now.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("pos").alias("pos2"), F.col("low").alias("low2"), F.col("head").alias("head2"))
-        now = cut(now.join(to, "jump", "left").select("id", F.col("jump2").alias("jump"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.coalesce("head2", "head").alias("head")))
-    cycle = F.col("jump").isNotNull()
-    return now.select("id", F.when(cycle, F.col("low")).otherwise(F.col("head")).alias("head"), F.when(cycle, -1).otherwise(F.col("pos")).cast("long").alias("pos"), cycle.alias("is_cycle"))
+        far = done.select(F.col("id").alias("jump"), F.col("pos").alias("pos3"), F.col("head").alias("head3"))
+        step = open_ids.join(to, "jump", "left").join(far, "jump", "left")
+        now = cut(step.select("id", F.col("jump2").alias("jump"), (F.col("pos") + F.coalesce("pos2", "pos3", F.lit(0))).alias("pos"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.coalesce("head2", "head3", "head").alias("head")))
+    rings = open_ids.select("id", F.col("low").alias("head"), F.lit(-1).cast("long").alias("pos"), F.lit(True).alias("is_cycle"))
+    return done.select("id", "head", "pos", F.lit(False).alias("is_cycle")).unionByName(rings)
 
 
 def chain_links(contigs: DataFrame) -> DataFrame:
@@ -230,13 +238,13 @@ def shortest_paths(contigs: DataFrame, anchors: int = 4000, middle: int = 3000,
     return least.select("src", "des", F.col("m.inserted").alias("inserted"), F.col("m.n_middle").alias("n_middle"))
 
 
-def simplify(contigs: DataFrame, rounds: int = 10) -> DataFrame:
-    """Distinct contigs without tips, chimeric edges and all but the longest of parallel edges, to a fixpoint (at most
-    ``rounds``). A removed edge takes its reverse complement with it."""
+def simplify(contigs: DataFrame) -> DataFrame:
+    """Distinct contigs without tips, chimeric edges and all but the longest of parallel edges, to a fixpoint. A removed
+    edge takes its reverse complement with it."""
     now = cut(contigs.dropDuplicates())
-    for _ in range(rounds):
+    while True:
         weaker = edges(now).join(bubbles(now), ["u", "v"]).filter("edge_id <> kept").select("edge_id")
-        gone = tips(now).unionByName(chimeric(now)).unionByName(weaker).distinct()
+        gone = tips(now).unionByName(topological_tips(now)).unionByName(chimeric(now)).unionByName(weaker).distinct()
         gone = cut(gone.unionByName(now.join(gone, "edge_id").filter("rc_id is not null").select(F.col("rc_id").alias("edge_id"))).distinct())
         if gone.isEmpty():
             break
@@ -288,15 +296,28 @@ def bulges(contigs: DataFrame, longest: int = 1000, low: float = 0.8, high: floa
     return found.select(F.col("x").alias("edge_id"), "n_edges", "length")
 
 
-def downstream_reach(contigs: DataFrame, hops: int = 4, cap: int = 1000) -> DataFrame:
-    """(edge_id, reach): the most bases that an edge and up to ``hops`` edges after it span, overlaps taken off, at most
-    ``cap``. Small values mark dead ends that a look at one edge doesn't show."""
-    e = cut(edges(contigs).select("edge_id", "u", "v", (F.col("seq_len") - F.col("k")).cast("long").alias("own")))
-    reach = e.select("u", "v", "edge_id", "own", F.col("own").alias("reach"))
-    for _ in range(hops):
+def downstream_reach(contigs: DataFrame, cap: int = 1000) -> DataFrame:
+    """(edge_id, reach): the most bases that an edge and all that follow it span, overlaps taken off, at most ``cap``.
+    Small values mark dead ends that a look at one edge doesn't show. Rounds go on until no reach changes; the cap ends
+    them on rings, too. An edge no longer than k adds nothing."""
+    e = cut(edges(contigs).select("edge_id", "u", "v", F.greatest(F.lit(0), F.col("seq_len") - F.col("k")).cast("long").alias("own")))
+    top = F.lit(cap).cast("long")
+    reach = e.select("u", "v", "edge_id", "own", F.least(top, "own").alias("reach"))
+    last = None
+    while last != (last := reach.agg(F.sum("reach")).first()[0]):
         ahead = reach.groupBy(F.col("u").alias("v")).agg(F.max("reach").alias("more"))
-        reach = cut(e.join(ahead, "v", "left").select("u", "v", "edge_id", "own", F.least(F.lit(cap).cast("long"), F.greatest("own", F.col("own") + F.coalesce("more", F.lit(0).cast("long")))).alias("reach")))
-    return reach.select("edge_id", F.least(F.lit(cap).cast("long"), "reach").alias("reach"))
+        reach = cut(e.join(ahead, "v", "left").select("u", "v", "edge_id", "own", F.least(top, F.col("own") + F.coalesce("more", F.lit(0).cast("long"))).alias("reach")))
+    return reach.select("edge_id", "reach")
+
+
+def topological_tips(contigs: DataFrame, longest: int = 250, ratio: float = 0.1) -> DataFrame:
+    """(edge_id): first edges of dead-end branches of any number of edges: what follows from the edge on spans at most
+    ``longest`` bases while another edge of its start goes on for more, and its coverage is below ``ratio`` of the
+    greatest one there. With the reverse complements, branches that come out of nowhere are found as well."""
+    r = downstream_reach(contigs)
+    e = edges(contigs).select("edge_id", "u", "cov").join(r, "edge_id")
+    best = e.groupBy("u").agg(F.max("reach").alias("far"), F.max("cov").alias("top"))
+    return e.join(best, "u").filter((F.col("reach") <= longest) & (F.col("far") > longest) & (F.col("cov") < ratio * F.col("top"))).select("edge_id")
 
 
 def cyclic_core(contigs: DataFrame) -> DataFrame:

@@ -22,22 +22,33 @@ def set_sizes(pieces: DataFrame) -> DataFrame:
     return members(pieces).groupBy("edge", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def shared_counts(m: DataFrame, least: int) -> DataFrame:
+def shared_counts(m: DataFrame, least: int, block: int = 1000) -> DataFrame:
     """(e1, e2, n), e1 < e2: pairs of edges that share ``least`` barcodes or more, exactly counted.
 
-    The ``least - 1`` barcodes with most edges can't make such a pair alone, so they aren't paired; what pairs share of
-    them is added from a short list per edge. That keeps barcodes which occur almost everywhere from pairing up
-    everything. ``m`` has distinct (edge, key)."""
+    Barcodes are ordered from rare to common. A pair that shares ``least`` has one of them among the first
+    n - least + 1 of both its edges, so only these are paired, and what pairs share of the commonest ones is counted at
+    the pairs that met. The holders of a barcode are paired in blocks of about ``block``, so one that nearly all edges
+    hold is spread over many tasks. ``m`` has distinct (edge, key)."""
+    from ..session import cut
+
     m = m.select("edge", "key")
-    hot = m.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 32").orderBy(F.desc("holders"), "key").limit(max(0, least - 1))
-    hot = F.broadcast(hot.select("key", F.lit(True).alias("hot")))  # at most least - 1 rows
-    m = m.join(hot, "key", "left")
-    rest = m.filter("hot is null").select("edge", "key")
-    lists = m.filter("hot").groupBy("edge").agg(F.collect_list("key").alias("hot_keys"))
-    met = rest.withColumnRenamed("edge", "e1").join(rest.withColumnRenamed("edge", "e2"), "key").filter("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
-    met = met.join(lists.withColumnsRenamed({"edge": "e1", "hot_keys": "h1"}), "e1", "left").join(lists.withColumnsRenamed({"edge": "e2", "hot_keys": "h2"}), "e2", "left")
-    n = F.col("n") + F.coalesce(F.size(F.array_intersect("h1", "h2")), F.lit(0))
-    return met.select("e1", "e2", n.cast("long").alias("n")).filter(F.col("n") >= least)
+    holders = m.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    order = Window.partitionBy("edge").orderBy("holders", "key")
+    shared = m.join(holders, "key").withColumn("place", F.row_number().over(order)).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("edge")))
+    shared = cut(shared.filter(F.col("shared") >= least).withColumn("head", F.col("place") <= F.col("shared") - least + 1).withColumn("blocks", F.ceil(F.col("holders") / block).cast("int")))
+    part, every = F.pmod(F.xxhash64("edge"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    head = shared.filter("head")
+    one = head.select("key", F.col("edge").alias("e1"), part.alias("b1"), every.alias("b2"))
+    two = head.select("key", F.col("edge").alias("e2"), part.alias("b2"), every.alias("b1"))
+    met = one.join(two, ["key", "b1", "b2"]).filter("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
+    if least > 1:  # a common barcode beyond the head of either edge was not paired
+        met = cut(met)
+        tail = shared.filter("not head").select("edge", "key")
+        of_1 = met.select("e1", "e2").join(tail.toDF("e1", "key"), "e1")
+        of_2 = met.select("e1", "e2").join(tail.toDF("e2", "key"), "e2")
+        rest = of_1.join(shared.select(F.col("edge").alias("e2"), "key"), ["e2", "key"]).unionByName(of_2.join(head.select(F.col("edge").alias("e1"), "key"), ["e1", "key"]))
+        met = met.join(rest.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("more")), ["e1", "e2"], "left").select("e1", "e2", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    return met.select("e1", "e2", F.col("n").cast("long").alias("n")).filter(F.col("n") >= least)
 
 
 def similarity(m: DataFrame, least: int) -> DataFrame:

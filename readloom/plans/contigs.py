@@ -48,6 +48,8 @@ QUERIES = {
     "barcode_set_operations": lambda s, d: links.set_operations(_sets(s, d)),
     "barcode_positive": lambda s, d: links.positive(_sets(s, d), _links(s, d), _contigs(s, d)),
     "shared_barcode_pairs": _shared,
+    "shared_barcode_pairs_low": lambda s, d: links.shared_counts(links.members(_sets(s, d), "L1"), 2),
+    "shared_barcode_pairs_high": lambda s, d: links.shared_counts(links.members(_sets(s, d), "L1"), 50),
     "barcode_similarity": lambda s, d: links.similarity(links.members(_sets(s, d), "L1"), LEAST),
     "barcode_top_two": lambda s, d: links.top_two(_shared(s, d)),
     "mutual_best_pair": lambda s, d: links.mutual_best(_shared(s, d)),
@@ -145,6 +147,8 @@ SQL = {
       select p.e1, p.e2, case when x.seq_len >= 200 and y.seq_len >= 200 then (h.n is not null and h.n >= 0.044 * least(coalesce(s1.s, 0), coalesce(s2.s, 0)))::int end as verdict
       from p left join h using (e1, e2) left join c x on x.edge_id = p.e1 left join c y on y.edge_id = p.e2 left join s s1 on s1.edge = p.e1 left join s s2 on s2.edge = p.e2""",
     "shared_barcode_pairs": f"with {_PAIRS} select * from pairs",
+    "shared_barcode_pairs_low": f"with {_M}, l1 as (select edge, key from m where kind = 'L1') select a.edge as e1, b.edge as e2, count(*) as n from l1 a join l1 b on a.key = b.key and a.edge < b.edge group by 1, 2 having count(*) >= 2",
+    "shared_barcode_pairs_high": f"with {_M}, l1 as (select edge, key from m where kind = 'L1') select a.edge as e1, b.edge as e2, count(*) as n from l1 a join l1 b on a.key = b.key and a.edge < b.edge group by 1, 2 having count(*) >= 50",
     "barcode_similarity": f"with {_PAIRS}, {_SCORE} select * from scored",
     "barcode_top_two": f"with {_PAIRS}, {_TOP} select * from state",
     "mutual_best_pair": f"with {_PAIRS}, {_TOP} select a.u as e1, b.u as e2, a.n1 as n from state a join state b on a.u = b.best and a.best = b.u and a.u < b.u where a.state <> 'tie' and b.state <> 'tie'",
@@ -194,12 +198,12 @@ SQL = {
     "barcode_hits": f"""with {_M}, g as (select key, count(*) as n_edges, sum(cnt)::bigint as n_hits, max(cnt) as top, arg_max(edge, (cnt, -edge)) as best from m where kind = 'L1' group by 1)
       select key, n_edges, n_hits, best, n_edges <= 2 or top >= 0.85::double * n_hits as is_sure from g""",
     "path_counts": f"""with recursive {_C}, far as (select * from e where seq_len >= 4000), inn as (select u, v, seq_len - k as a from e where seq_len < 3000),
-      r as (select edge_id as src, rc_id as src_rc, v as node, 0::bigint as ins, 0 as n from far union all select r.src, r.src_rc, inn.v, r.ins + a, r.n + 1 from r join inn on inn.u = r.node where r.n < 3 and r.ins + a <= 4000)
+      r as (select edge_id as src, rc_id as src_rc, v as node, 0::bigint as ins, 0 as n from far union all select r.src, r.src_rc, inn.v, r.ins + a, r.n + 1 from r join inn on inn.u = r.node where r.n < 30 and r.ins + a <= 4000)
       select src, far.edge_id as des, count(*) as n_paths from r join far on far.u = r.node where far.edge_id <> src and far.edge_id is distinct from src_rc group by 1, 2""",
-    "graph_bulges": f"""with {_C}, w2 as (select x.edge_id as x, x.v as xv, x.seq_len as xl, b.v as tip, a.seq_len::bigint + b.seq_len - b.k as l from e x join e a on a.u = x.u and a.edge_id <> x.edge_id and a.seq_len <= 1200 join e b on b.u = a.v and b.edge_id <> x.edge_id and b.seq_len <= 1200
-        where x.seq_len <= 1000 and a.seq_len::bigint + b.seq_len - b.k <= 1.2::double * x.seq_len),
-      w3 as (select x, xv, xl, c.v as tip, l + c.seq_len - c.k as l from w2 join e c on c.u = w2.tip and c.edge_id <> x and c.seq_len <= 1200 where l + c.seq_len - c.k <= 1.2::double * xl),
-      h as (select x, 2 as n, l from w2 where tip = xv and l >= 0.8::double * xl union all select x, 3, l from w3 where tip = xv and l >= 0.8::double * xl)
+    "graph_bulges": f"""with recursive {_C}, sh as (select u, v, edge_id, seq_len::bigint as l, seq_len - k as a from e where seq_len <= 1200 and seq_len > k),
+      w as (select x.edge_id as x, x.v as xv, x.seq_len as xl, sh.v as tip, sh.l, 1 as n from e x join sh on sh.u = x.u and sh.edge_id <> x.edge_id where x.seq_len <= 1000 and sh.l <= 1.2::double * x.seq_len
+        union select x, xv, xl, sh.v, w.l + sh.a, n + 1 from w join sh on sh.u = w.tip and sh.edge_id <> x where w.l + sh.a <= 1.2::double * xl),
+      h as (select x, n, l from w where n > 1 and tip = xv and l >= 0.8::double * xl)
       select x as edge_id, min(n) as n_edges, arg_min(l, n * 1000000 + l) as length from h group by 1""",
     "local_reads": f"""with {_PAIRS}, {_TOP}, mb as (select a.u as e1, b.u as e2 from state a join state b on a.u = b.best and a.best = b.u and a.u < b.u where a.state <> 'tie' and b.state <> 'tie'),
       r as (select distinct read_id, mate, regexp_extract(info, 'BX:Z:([^ \t]*)', 1) as bx from seq_reads where contains(info, 'BX:Z:')), t as (select read_id, mate, list_reduce(list_concat([0::bigint], list_transform(string_split(bx, ''), lambda c: (instr('ACGTN', c) - 1)::bigint)), lambda a, b: a * 5 + b) as code from r where regexp_full_match(bx, '[ACGTN]{{18}}')),
@@ -212,18 +216,20 @@ SQL = {
       k as (select e1, e2, key from mb join l1 on l1.edge = e1 or l1.edge = e2 group by 1, 2, 3 having count(*) = 2), g as (select e1, e2, sum(n)::bigint as n_reads, sum(bases)::bigint as n_bases from k join per on per.code = k.key group by 1, 2)
       select e1, e2, coalesce(n_reads, 0) as n_reads, coalesce(n_bases, 0) as n_bases from mb left join g using (e1, e2)""",
     "component_histogram": f"{_REACH}, s as (select root, (sum(seq_len) // 2)::bigint as bases from comp join e using (edge_id) group by 1) select least(bases // 10000, 34)::bigint as bin, count(*) as n from s group by 1",
-    "downstream_reach": f"""with recursive {_C}, w as (select edge_id as s, v, (seq_len - k)::bigint as l, 0 as n from e union all select w.s, e.v, w.l + e.seq_len - e.k, w.n + 1 from w join e on e.u = w.v where w.n < 4)
-      select s as edge_id, least(1000, max(l)) as reach from w group by 1""",
+    "downstream_reach": f"""with recursive {_C}, o as (select edge_id, u, v, greatest(0, seq_len - k)::bigint as own from e),
+      w as (select edge_id as s, v, least(1000, own) as l from o union select w.s, o.v, least(1000, w.l + o.own) from w join o on o.u = w.v where w.l < 1000)
+      select s as edge_id, max(l) as reach from w group by 1""",
     "cyclic_core": f"""with recursive {_C}, r as (select u as a, v as b from e union select r.a, e.v from r join e on e.u = r.b), ring as (select a as n from r where a = b),
       after as (select n from ring union select r.b from ring join r on r.a = ring.n), before as (select n from ring union select r.a from ring join r on r.b = ring.n)
       select edge_id from e where u in (select n from after) and v in (select n from before)""",
     "bfs_levels": f"""with recursive {_C}, s as (select graph, arg_max(edge_id, seq_len::hugeint * 10000000000000 - edge_id) as edge_id from e group by 1),
-      b as (select graph, edge_id, 0 as level from s union select b.graph, f.edge_id, b.level + 1 from b join e on e.edge_id = b.edge_id join e f on f.u = e.v where b.level < 6)
-      select graph, edge_id, min(level) as level from b group by 1, 2""",
+      b(graph, edge_id, level) using key (graph, edge_id) as (select graph, edge_id, 0 from s union select b.graph, f.edge_id, min(b.level) + 1 from b join e on e.edge_id = b.edge_id join e f on f.u = e.v
+        where not exists (select 1 from recurring.b r where r.graph = b.graph and r.edge_id = f.edge_id) group by 1, 2)
+      select graph, edge_id, level from b""",
     "neighbourhood": f"""with {_C}, s as (select distinct a.edge_id, b.edge_id as t from e a join e b on a.v = b.u), d as (select edge_id, t, 1 as d from s union all select a.edge_id, b.t, 2 from s a join s b on a.t = b.edge_id),
       m as (select edge_id, t, min(d) as d from d where edge_id <> t group by 1, 2) select edge_id, count(*) filter (d = 1) as n1, count(*) filter (d = 2) as n2 from m group by 1""",
-    "shortest_paths": f"""with recursive {_C}, far as (select * from e where seq_len >= 4000), inn as (select u, v, seq_len - k as a from e where seq_len < 3000),
-      r as (select edge_id as src, rc_id as src_rc, v as node, 0::bigint as ins, 0 as n from far union select r.src, r.src_rc, inn.v, r.ins + a, r.n + 1 from r join inn on inn.u = r.node where r.n < 4 and r.ins + a <= 4000),
+    "shortest_paths": f"""with recursive {_C}, far as (select * from e where seq_len >= 4000), inn as (select u, v, seq_len - k as a from e where seq_len < 3000 and seq_len > k),
+      r as (select edge_id as src, rc_id as src_rc, v as node, 0::bigint as ins, 0 as n from far union select r.src, r.src_rc, inn.v, r.ins + a, r.n + 1 from r join inn on inn.u = r.node where r.ins + a <= 4000),
       t as (select src, far.edge_id as des, ins, n from r join far on far.u = r.node where far.edge_id <> src and far.edge_id is distinct from src_rc)
       select src, des, min(ins) as inserted, arg_min(n, ins * 100 + n) as n_middle from t group by 1, 2""",
 }
