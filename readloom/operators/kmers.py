@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import packed
 from ..functions import sequence as S
 from .reads import spread
 
@@ -17,15 +22,21 @@ def read_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     return r.select(*keep, F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).filter(S.is_acgt(F.col("kmer")))
 
 
-def counts(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
-    """(kmer, n): canonical k-mers that occur ``least`` times or more. Counts are combined before the shuffle."""
-    c = read_kmers(reads, k).groupBy(S.canonical(F.col("kmer")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+def packed_counts(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """(hi, lo, n): canonical k-mers of up to 62 bases as two integers (``functions.packed``), seen ``least`` times or
+    more. Counts are combined before the shuffle, which moves two integers and a count per k-mer."""
+    c = spread(reads).select("seq").mapInArrow(packed.counted(k), "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
     return c.filter(F.col("n") >= least) if least > 1 else c
 
 
+def counts(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """(kmer, n): canonical k-mers that occur ``least`` times or more."""
+    return packed_counts(reads, k, least).select(packed.text(F.col("hi"), F.col("lo"), k).alias("kmer"), "n")
+
+
 def spectrum(reads: DataFrame, k: int) -> DataFrame:
     """(n, kmers): how many canonical k-mers occur n times."""
-    return counts(reads, k).groupBy("n").agg(F.count(F.lit(1)).alias("kmers"))
+    return packed_counts(reads, k).groupBy("n").agg(F.count(F.lit(1)).alias("kmers"))
 
 
 def adjacency(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
@@ -33,16 +44,28 @@ def adjacency(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
 
     Bit b of the low half: base b follows the canonical k-mer; bit b of the high half: base b follows its reverse
     complement. ``n`` is the number of (k+1)-mers that the k-mer is an end of."""
-    e = read_kmers(reads, k + 1).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    left, right = F.substring("kmer", 1, k), F.substring("kmer", 2, k)
-    out_base, in_base = F.substring("kmer", k + 1, 1), F.translate(F.substring("kmer", 1, 1), "ACGT", "TGCA")
-    ends = F.explode(F.array(F.struct(left.alias("km"), out_base.alias("base")), F.struct(S.revcomp(right).alias("km"), in_base.alias("base"))))
-    e = e.select("n", ends.alias("x")).select("n", "x.km", "x.base")
-    code = S.letter_code(F.col("base"), "ACGT")
-    forward = F.col("km") <= S.revcomp(F.col("km"))
-    bit = F.call_function("shiftleft", F.lit(1), (code + F.when(forward, 0).otherwise(4)).cast("int"))
-    out = e.groupBy(S.canonical(F.col("km")).alias("kmer")).agg(F.bit_or(bit).alias("mask"), F.sum("n").alias("n"))
-    return out.filter(F.col("n") >= least)
+    pair = packed_counts(reads, k + 1).mapInArrow(packed.both_strands(k + 1), "hi long, lo long, n long")
+    hi, lo = F.col("hi"), F.col("lo")
+    # on either strand the first k bases are followed by the last one; a k-mer's reverse complement is the other strand's
+    first, last = packed.without_last(hi, lo, k + 1), lo.bitwiseAND(F.lit(3)).cast("int")
+    end = pair.select(first[0].alias("hi"), first[1].alias("lo"), last.alias("base"), "n")
+    end = end.groupBy("hi", "lo").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("base"))).alias("out"), F.sum("n").alias("n")).mapInArrow(_canonical(k), "hi long, lo long, mask int, n long")
+    g = end.groupBy("hi", "lo").agg(F.bit_or("mask").alias("mask"), F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return g.select(packed.text(F.col("hi"), F.col("lo"), k).alias("kmer"), "mask", "n")
+
+
+def _canonical(k: int):
+    """Masks of oriented k-mers moved to the canonical strand: the low half for its own, the high half for the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo, out = (batch.column(c).to_numpy() for c in ("hi", "lo", "out"))
+            rhi, rlo = packed.reverse(hi, lo, k)
+            swap = (rhi < hi) | ((rhi == hi) & (rlo < lo))
+            mask = np.where(swap, out << 4, out).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, rhi, hi)), pa.array(np.where(swap, rlo, lo)), pa.array(mask), batch.column("n")], ["hi", "lo", "mask", "n"])
+
+    return run
 
 
 def table_kmers(slots: DataFrame, k: int = 31) -> DataFrame:

@@ -1,51 +1,98 @@
-"""The compacted de Bruijn graph of reads: maximal unbranched runs of k-mers.
+"""The compacted de Bruijn graph of reads: unitigs as contigs of a graph with sequences.
 
-An oriented k-mer is its 2-bit code, a bigint, so k is odd and at most 31. A k-mer follows another one in a unitig where
-that has one k-mer after it and it has one before it. The runs come by pointer doubling over all k-mers at once, not by
-walking from node to node.
+Oriented (k+1)-mers are pairs of integers, k odd and at most 61. A (k+1)-mer continues another one where the k-mer
+between them has one before it and one after it. The runs come by pointer doubling over all (k+1)-mers at once, not by
+walking from node to node; ids come by sorting, not by a counter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import packed
 from ..functions import sequence as S
 from ..session import cut
 from . import kmers
 from .graph import list_positions
 
 
-def steps(reads: DataFrame, k: int, least: int) -> DataFrame:
-    """(a, b): oriented k-mers that follow one another in a (k+1)-mer seen ``least`` times on both strands together."""
-    pairs = kmers.counts(reads, k + 1, least).select(F.explode(F.array("kmer", S.revcomp(F.col("kmer")))).alias("x")).distinct()
-    return pairs.select(S.two_bit(F.substring("x", 1, k)).alias("a"), S.two_bit(F.substring("x", 2, k)).alias("b"))
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the place (from 0) of each row in the order of ``by``. Rows are sorted by ranges; a range
+    adds the sizes of those before it, so no task sees all rows. Values of ``by`` are distinct."""
+    ranged = cut(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    ranged = ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1 + F.col("_before")
+    return ranged.withColumn(name, place.cast("long")).drop("_range", "_before")
+
+
+def _oriented(reads: DataFrame, k: int, least: int) -> DataFrame:
+    """(id, a, b, n): (k+1)-mers of both strands seen ``least`` times and the k-mers at their ends, all as (hi, lo)."""
+    if k % 2 == 0 or k >= packed.MOST:
+        raise ValueError("k must be odd and below 62: an even k has k-mers that are their own reverse complement")
+    both = cut(kmers.packed_counts(reads, k + 1, least).mapInArrow(packed.both_strands(k + 1), "hi long, lo long, n long"))
+    ends = (f(F.col("hi"), F.col("lo"), k + 1) for f in (packed.without_last, packed.without_first))
+    return both.select(F.struct("hi", "lo").alias("id"), *[F.struct(hi.alias("hi"), lo.alias("lo")).alias(c) for c, (hi, lo) in zip("ab", ends)], "n")
+
+
+def _spelled(ids: DataFrame, follows: DataFrame, m: int) -> DataFrame:
+    """(seq, n_ids, n, is_cycle): the runs of m-mers ``ids(id, n)`` by ``follows(id, prev)``. A ring opens at its least
+    m-mer."""
+    follows = cut(follows)
+    pos = list_positions(ids.select("id").join(follows, "id", "left").select("id", "prev"))
+    ring = cut(pos.filter("is_cycle").select("id", "head"))
+    if not ring.isEmpty():  # only rings are placed again
+        opened = ring.join(follows, "id").select("id", F.when(F.col("id") != F.col("head"), F.col("prev")).alias("prev"))
+        pos = pos.filter("not is_cycle").unionByName(list_positions(opened).select("id", "head", "pos", F.lit(True).alias("is_cycle")))
+    letter = F.element_at(F.array(*[F.lit(c) for c in "ACGT"]), F.col("id.lo").bitwiseAND(F.lit(3)).cast("int") + 1)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", letter.alias("c")))), lambda x: x["c"]), "")
+    g = pos.join(ids, "id").groupBy("head", "is_cycle").agg(body.alias("body"), F.count(F.lit(1)).alias("n_ids"), F.sum("n").alias("n"))
+    start = packed.text(F.col("head.hi"), F.col("head.lo"), m)
+    return g.select(F.concat(F.substring(start, 1, m - 1), "body").alias("seq"), "n_ids", "n", "is_cycle")
+
+
+def runs(reads: DataFrame, k: int, least: int) -> DataFrame:
+    """(seq, n_ids, n, is_cycle): all maximal runs of oriented (k+1)-mers, on both strands, with their counts added up."""
+    step = _oriented(reads, k, least)
+    one_out = step.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").select(F.col("a").alias("node"), "id")
+    one_in = step.groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("prev")).filter("c = 1").select(F.col("b").alias("node"), "prev")
+    return _spelled(step.select("id", "n"), one_out.join(one_in, "node").filter("id <> prev").select("id", "prev"), k + 1)
+
+
+def read_graph(reads: DataFrame, k: int = 45, least: int = 2) -> DataFrame:
+    """The graph as contigs with sequences: (edge_id, rc_id, node_from, node_to, graph, seq_len, cnt, holes, seq).
+
+    Contigs are unitigs between k-mers that don't have one edge in and one out; both strands are rows of their own, a
+    palindrome is its own reverse complement. ids follow the order of the sequences of the lesser strands: 2 i and
+    2 i + 1 for its reverse complement; nodes are numbered in the order of their k-mers. ``cnt`` adds up the counts of
+    the (k+1)-mers. Rings without a branch have no end and are left out."""
+    rows = runs(reads, k, least).filter("not is_cycle").withColumn("rc", S.revcomp(F.col("seq")))
+    one = numbered(rows.filter("seq <= rc").select("seq", "rc", F.col("n").alias("cnt")), "seq", "i")
+    strand = F.explode(F.when(F.col("seq") == F.col("rc"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("s")
+    e = cut(one.select("i", "cnt", "seq", "rc", strand))
+    own = F.when(F.col("s") == 0, F.col("seq")).otherwise(F.col("rc"))
+    twin = F.when(F.col("seq") == F.col("rc"), 2 * F.col("i")).otherwise(2 * F.col("i") + 1 - F.col("s"))
+    e = e.select((2 * F.col("i") + F.col("s")).alias("edge_id"), twin.alias("rc_id"), own.alias("seq"), "cnt").withColumns({"_u": F.substring("seq", 1, k), "_v": F.expr(f"right(seq, {k})")})
+    nodes = numbered(e.select(F.explode(F.array("_u", "_v")).alias("kmer")).distinct(), "kmer", "node")
+    e = e.join(nodes.select(F.col("kmer").alias("_u"), F.col("node").alias("node_from")), "_u").join(nodes.select(F.col("kmer").alias("_v"), F.col("node").alias("node_to")), "_v")
+    none = F.array().cast("array<struct<pos:int,len:int>>")
+    return e.select("edge_id", "rc_id", "node_from", "node_to", F.lit("global" if k == 45 else "local").alias("graph"), F.length("seq").alias("seq_len"), "cnt", none.alias("holes"), "seq")
 
 
 def unitigs(reads: DataFrame, k: int = 31, least: int = 2) -> DataFrame:
-    """(seq, n_kmers, is_cycle): each unitig once, as the lesser of both strands. A ring is opened at its least k-mer and
-    marked. k-mers without any step are no part of the graph; k-mers with N are left out."""
-    if k % 2 == 0 or k > 31:
-        raise ValueError("k must be odd and at most 31: an even k has k-mers that are their own reverse complement")
-    step = cut(steps(reads, k, least))
-    ends = step.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """(seq, n_kmers, is_cycle): runs of k-mers that have one step in and one out, each once, as the lesser of both
+    strands; ``least`` counts the (k+1)-mers of the steps. A ring is opened at its least k-mer and marked. k-mers without
+    any step are no part of the graph; k-mers with N are left out."""
+    step = cut(_oriented(reads, k, least).select("a", "b"))
     one_out = step.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).filter("n = 1").select("a", "b")
     one_in = step.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("b")
-    follows = one_out.join(one_in, "b").filter("a <> b").select(F.col("b").alias("id"), F.col("a").alias("prev"))
+    bases = lambda c: packed.text(F.col(f"{c}.hi"), F.col(f"{c}.lo"), k)
     # a k-mer doesn't follow its own reverse complement: the run would turn into itself
-    own = S.two_bit(S.revcomp(S.from_two_bit(F.col("prev"), k)))
-    follows = cut(follows.filter(own != F.col("id")))
-    pos = list_positions(ends.join(follows, "id", "left").select("id", "prev"))
-    ring = cut(pos.filter("is_cycle").select("id", "head"))
-    if not ring.isEmpty():  # the least k-mer of a ring becomes its head; only rings are placed again
-        opened = ring.join(follows, "id").select("id", F.when(F.col("id") != F.col("head"), F.col("prev")).alias("prev"))
-        placed = list_positions(opened).select("id", "head", "pos", F.lit(True).alias("is_cycle"))
-        pos = pos.filter("not is_cycle").unionByName(placed)
-    letter = F.substring(S.from_two_bit(F.col("id"), k), k, 1)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", letter.alias("c")))), lambda x: x["c"]), "")
-    g = pos.groupBy("head", "is_cycle").agg(body.alias("body"), F.count(F.lit(1)).alias("n_kmers"))
-    seq = F.concat(F.substring(S.from_two_bit(F.col("head"), k), 1, k - 1), F.col("body"))
-    rows = g.select(seq.alias("seq"), "n_kmers", "is_cycle")
+    follows = one_out.join(one_in, "b").filter("a <> b").filter(bases("b") != S.revcomp(bases("a"))).select(F.col("b").alias("id"), F.col("a").alias("prev"))
+    ids = step.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("n", F.lit(1))
+    rows = _spelled(ids, follows, k).select("seq", F.col("n_ids").alias("n_kmers"), "is_cycle")
     straight = rows.filter("not is_cycle").select(S.canonical(F.col("seq")).alias("seq"), "n_kmers", "is_cycle").distinct()
     rings = rows.filter("is_cycle")  # the other strand opens at another k-mer: keep the strand with the lesser start
     least_kmer = lambda c: F.array_min(F.transform(F.sequence(F.lit(1), F.col("n_kmers").cast("int")), lambda i: F.substring(c, i, F.lit(k))))

@@ -49,6 +49,9 @@ QUERIES = {
     "kmer_missing": lambda s, d: kmers.missing(_reads(s, d), _slots(s, d)),
     "mate_kmer_match": lambda s, d: kmers.mate_match(_reads(s, d), SMALL_K),
     "unitigs": lambda s, d: unitigs.unitigs(_reads(s, d), K),
+    "unitigs_45": lambda s, d: unitigs.unitigs(_reads(s, d), 45),
+    "read_graph": lambda s, d: unitigs.read_graph(_reads(s, d), 45).drop("holes"),
+    "read_graph_local": lambda s, d: unitigs.read_graph(_reads(s, d), 31).drop("holes"),
     "similar_reads": lambda s, d: alignment.similar_reads(_reads(s, d)),
     "minimizers": lambda s, d: minimizers.of_sequences(_reads(s, d), MINIMIZER_K, MINIMIZER_W),
     "minimizer_index": lambda s, d: minimizers.index(_local(s, d)),
@@ -79,6 +82,33 @@ _INDEX = """e as (select distinct edge, p, mm from mm_db where p is not null and
 idx as (select mm, arg_min(edge, edge * 1000000 + p) as edge, arg_min(p, edge * 1000000 + p) as p, count(*) as n from e group by 1)"""
 _PROBE = f"with {_INDEX}, q as (select distinct edge as query, pos as p, mm from mm_align where mm is not null)"
 
+def _unitigs(k: int) -> str:
+    return f"""with recursive {_kmers(k + 1)[5:]}, c as (select least(km, rc) as km from k group by 1 having count(*) >= 2), x2 as (select km from c union select reverse(translate(km, 'ACGT', 'TGCA')) from c),
+      st as (select left(km, {k}) as a, right(km, {k}) as b from x2), one_out as (select a, min(b) as b from st group by 1 having count(*) = 1), one_in as (select b from st group by 1 having count(*) = 1),
+      f as (select b as id, a as prev from one_out join one_in using (b) where a <> b and reverse(translate(a, 'ACGT', 'TGCA')) <> b), ids as (select a as id from st union select b from st),
+      walk as (select id as head, id as tip, id as seq, 1 as n from ids where id not in (select id from f) union all select head, f.id, seq || right(f.id, 1), n + 1 from walk join f on f.prev = walk.tip),
+      full_run as (select head, arg_max(seq, n) as seq, max(n) as n_kmers from walk group by 1),
+      ring as (select id as head, id as tip, id as seq, 1 as n from f where id not in (select tip from walk) union all select head, f.id, seq || right(f.id, 1), n + 1 from ring join f on f.prev = ring.tip where f.id <> head),
+      ring_run as (select head, arg_max(seq, n) as seq, max(n) as n_kmers, min(tip) as low, min(reverse(translate(tip, 'ACGT', 'TGCA'))) as rc_low from ring group by 1)
+      select distinct least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) as seq, n_kmers::bigint as n_kmers, false as is_cycle from full_run
+      union all select seq, n_kmers::bigint, true from ring_run where head = low and low <= rc_low"""
+
+
+def _graph(k: int) -> str:
+    """The graph of the reads as CTEs, the last one g: (k+1)-mers are walked on through k-mers with one in and one out."""
+    rc = _REVCOMP.format
+    return f"""{_kmers(k + 1)[5:]}, c as (select least(km, rc) as km, count(*) as n from k group by 1 having count(*) >= 2),
+      x2 as (select km, n from c union select {rc("km")}, n from c), st as (select km, n, left(km, {k}) as a, right(km, {k}) as b from x2),
+      o1 as (select a as node, min(km) as km from st group by 1 having count(*) = 1), i1 as (select b as node, min(km) as prev from st group by 1 having count(*) = 1),
+      f as (select km, prev from o1 join i1 using (node) where km <> prev),
+      walk as (select km as head, km as tip, km as seq, n, 1 as m from st where km not in (select km from f) union all select head, f.km, seq || right(f.km, 1), walk.n + st.n, m + 1 from walk join f on f.prev = walk.tip join st on st.km = f.km),
+      full_run as (select head, arg_max(seq, m) as seq, max(n) as cnt from walk group by 1),
+      one as (select seq, {rc("seq")} as rcs, cnt, row_number() over (order by seq) - 1 as i from full_run where seq <= {rc("seq")}),
+      e as (select 2 * i as edge_id, case when seq = rcs then 2 * i else 2 * i + 1 end as rc_id, seq, cnt from one union all select 2 * i + 1, 2 * i, rcs, cnt from one where seq <> rcs),
+      nodes as (select kmer, row_number() over (order by kmer) - 1 as node from (select left(seq, {k}) as kmer from e union select right(seq, {k}) from e)),
+      g as (select edge_id, rc_id, x.node as node_from, y.node as node_to, '{"global" if k == 45 else "local"}' as graph, length(seq)::int as seq_len, cnt::bigint as cnt, seq from e join nodes x on x.kmer = left(seq, {k}) join nodes y on y.kmer = right(seq, {k}))"""
+
+
 SQL = {
     "revcomp_reads": f"{_R} select read_id, mate, {_REVCOMP.format('seq')} as rc from r",
     "barcode_tags": f"""with r as (select distinct read_id, mate, info from seq_reads), t as (select read_id, mate, case when contains(info, 'BX:Z:') then regexp_extract(info, 'BX:Z:([^ \t]*)', 1) end as bx,
@@ -114,16 +144,10 @@ SQL = {
     "mate_kmer_match": _kmers(SMALL_K, "read_id, mate,")
     + """, c as (select read_id, least(km, rc) as kmer, count(*) filter (mate = 1) as a, count(*) filter (mate = 2) as b from k group by 1, 2)
       select read_id, sum(least(a, b))::bigint as matches from c group by 1 having sum(least(a, b)) > 0""",
-    "unitigs": "with recursive " + _kmers(32)[5:]
-    + """, c as (select least(km, rc) as km from k group by 1 having count(*) >= 2), x2 as (select km from c union select reverse(translate(km, 'ACGT', 'TGCA')) from c),
-      st as (select left(km, 31) as a, right(km, 31) as b from x2), one_out as (select a, min(b) as b from st group by 1 having count(*) = 1), one_in as (select b from st group by 1 having count(*) = 1),
-      f as (select b as id, a as prev from one_out join one_in using (b) where a <> b and reverse(translate(a, 'ACGT', 'TGCA')) <> b), ids as (select a as id from st union select b from st),
-      walk as (select id as head, id as tip, id as seq, 1 as n from ids where id not in (select id from f) union all select head, f.id, seq || right(f.id, 1), n + 1 from walk join f on f.prev = walk.tip),
-      full_run as (select head, arg_max(seq, n) as seq, max(n) as n_kmers from walk group by 1),
-      ring as (select id as head, id as tip, id as seq, 1 as n from f where id not in (select tip from walk) union all select head, f.id, seq || right(f.id, 1), n + 1 from ring join f on f.prev = ring.tip where f.id <> head),
-      ring_run as (select head, arg_max(seq, n) as seq, max(n) as n_kmers, min(tip) as low, min(reverse(translate(tip, 'ACGT', 'TGCA'))) as rc_low from ring group by 1)
-      select distinct least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) as seq, n_kmers::bigint as n_kmers, false as is_cycle from full_run
-      union all select seq, n_kmers::bigint, true from ring_run where head = low and low <= rc_low""",
+    "unitigs": _unitigs(31),
+    "unitigs_45": _unitigs(45),
+    "read_graph": "with recursive " + _graph(45) + " select * from g",
+    "read_graph_local": "with recursive " + _graph(31) + " select * from g",
     "minimizers": f"""{_R}, x as (select read_id, mate, i as p, substr(upper(seq), i::int, 17) as km, length(seq) - 16 as n from r, unnest(range(1, greatest(1, length(seq) - 15))) t(i) where length(seq) >= 17),
       h as (select *, case when regexp_full_match(km, '[ACGT]+') then md5(km) || lpad(p::varchar, 9, '0') end as h from x),
       w as (select *, min(h) over (partition by read_id, mate, n order by p rows between current row and 16 following) as m from h),
