@@ -120,3 +120,22 @@ def without_first(hi: Column, lo: Column, k: int) -> tuple[Column, Column]:
     if k - 1 <= LOW:
         return F.lit(0).cast("long"), lo.bitwiseAND(F.lit((1 << 2 * (k - 1)) - 1))
     return hi.bitwiseAND(F.lit((1 << 2 * (k - 1 - LOW)) - 1)), lo
+
+
+def minimizers(hi: np.ndarray, lo: np.ndarray, k: int, m: int = 15) -> np.ndarray:
+    """The least hash of the m-mers of each packed k-mer. Neighbouring k-mers mostly have the same one."""
+    m = min(m, k)
+    best = None
+    for at in range(k - m + 1):  # bases after the m-mer
+        shift = 2 * at
+        if at >= LOW:
+            x = hi >> (shift - 2 * LOW)
+        elif at + m > LOW:
+            x = (lo >> shift) | (hi << (2 * LOW - shift))
+        else:
+            x = lo >> shift
+        x = (x & ((1 << 2 * m) - 1)).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        best = x if best is None else np.minimum(best, x)
+    return best.view(np.int64)

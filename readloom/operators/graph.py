@@ -87,8 +87,8 @@ def list_positions(follows: DataFrame) -> DataFrame:
     most per id. Pointer doubling: after round r every id knows who stands 2^r places before it; an id that has reached
     its head leaves the rounds. An id on a cycle has the cycle's least id as head and no place (pos -1)."""
     now = cut(follows.select("id", F.col("prev").alias("jump"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("pos"), F.coalesce(F.least("id", "prev"), F.col("id")).alias("low"), F.coalesce("prev", "id").alias("head")))
-    done = None
-    last = None
+    done = last = None
+    rounds = 0
     while True:
         ended = now.filter("jump is null")
         open_ids = now.filter("jump is not null")
@@ -96,6 +96,8 @@ def list_positions(follows: DataFrame) -> DataFrame:
         left = open_ids.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()
         known = ended.select("id", "head", "pos")
         done = known if done is None else done.unionByName(known)
+        if (rounds := rounds + 1) % 4 == 0:  # else the union has more and more parts
+            done = cut(done.coalesce(shuffle_width(done.sparkSession)))
         if not left[0] or left == last:
             break
         last = left

@@ -7,12 +7,17 @@ walking from node to node; ids come by sorting, not by a counter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packed
 from ..functions import sequence as S
-from ..session import cut
+from ..session import cut, shuffle_width
 from . import kmers
 from .graph import list_positions
 
@@ -37,20 +42,90 @@ def _oriented(reads: DataFrame, k: int, least: int) -> DataFrame:
     return both.select(F.struct("hi", "lo").alias("id"), *[F.struct(hi.alias("hi"), lo.alias("lo")).alias(c) for c, (hi, lo) in zip("ab", ends)], "n")
 
 
+def _near(m: int):
+    """Rows with the bucket of their m-mer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = packed.minimizers(batch.column("hi").to_numpy(), batch.column("lo").to_numpy(), m)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket)], [*batch.schema.names, "bucket"])
+
+    return run
+
+
+def _chains(prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(head, place) of each row by the row before it (-1 at a head). A ring opens at its first row."""
+    prev = prev.copy()
+    while True:
+        jump, place, head, low = prev.copy(), (prev >= 0).astype(np.int64), np.arange(len(prev)), np.arange(len(prev))
+        head = np.where(prev >= 0, prev, head)
+        for _ in range(len(prev).bit_length() + 1):
+            at = np.flatnonzero(jump >= 0)
+            if not len(at):
+                return head, place
+            to = jump[at]
+            low[at] = np.minimum(low[at], low[to])
+            place[at] += place[to]
+            head[at], jump[at] = np.where(jump[to] >= 0, jump[to], head[to]), jump[to]
+        prev[np.unique(low[jump >= 0])] = -1
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs inside one partition: (hi, lo) of the last m-mer, that before the first one, the first one, the letters
+    that the m-mers end with, their number and counts."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    hi, lo, n, phi, plo = (t[c].fill_null(-1).combine_chunks().to_numpy() for c in ("hi", "lo", "n", "phi", "plo"))
+    prev = np.where(phi < 0, -1, pd.MultiIndex.from_arrays([hi, lo]).get_indexer(pd.MultiIndex.from_arrays([phi, plo])))
+    head, place = _chains(prev)
+    order = np.lexsort((place, head))
+    starts = np.flatnonzero(np.r_[True, np.diff(head[order]) != 0])
+    ends = np.r_[starts[1:], len(order)]
+    letters = np.frombuffer(b"ACGT", np.uint8)[lo[order] & 3].tobytes().decode()
+    first, last = order[starts], order[ends - 1]
+    open_start = phi[first] < 0
+    before = [pa.array(x[first], pa.int64(), mask=open_start) for x in (phi, plo)]
+    cols = [pa.array(hi[last]), pa.array(lo[last]), *before, pa.array(hi[first]), pa.array(lo[first]), pa.array([letters[i:j] for i, j in zip(starts, ends)], pa.string()), pa.array(ends - starts), pa.array(np.add.reduceat(n[order], starts))]
+    yield pa.RecordBatch.from_arrays(cols, ["hi", "lo", "phi", "plo", "first_hi", "first_lo", "body", "n_ids", "n"])
+
+
+def _turned(m: int):
+    """Rings as text from their least m-mer on; ``body`` has the letters that their m-mers end with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body in batch.column("body").to_pylist():
+                twice = body * (m // len(body) + 2)
+                at = min(range(len(body)), key=lambda i: twice[i : i + m])
+                out.append((twice + body)[at : at + len(body) + m - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("n_ids"), batch.column("n")], ["seq", "n_ids", "n"])
+
+    return run
+
+
 def _spelled(ids: DataFrame, follows: DataFrame, m: int) -> DataFrame:
     """(seq, n_ids, n, is_cycle): the runs of m-mers ``ids(id, n)`` by ``follows(id, prev)``. A ring opens at its least
-    m-mer."""
-    follows = cut(follows)
-    pos = list_positions(ids.select("id").join(follows, "id", "left").select("id", "prev"))
-    ring = cut(pos.filter("is_cycle").select("id", "head"))
-    if not ring.isEmpty():  # only rings are placed again
-        opened = ring.join(follows, "id").select("id", F.when(F.col("id") != F.col("head"), F.col("prev")).alias("prev"))
-        pos = pos.filter("not is_cycle").unionByName(list_positions(opened).select("id", "head", "pos", F.lit(True).alias("is_cycle")))
-    letter = F.element_at(F.array(*[F.lit(c) for c in "ACGT"]), F.col("id.lo").bitwiseAND(F.lit(3)).cast("int") + 1)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", letter.alias("c")))), lambda x: x["c"]), "")
-    g = pos.join(ids, "id").groupBy("head", "is_cycle").agg(body.alias("body"), F.count(F.lit(1)).alias("n_ids"), F.sum("n").alias("n"))
-    start = packed.text(F.col("head.hi"), F.col("head.lo"), m)
-    return g.select(F.concat(F.substring(start, 1, m - 1), "body").alias("seq"), "n_ids", "n", "is_cycle")
+    m-mer.
+
+    Neighbours mostly share a minimizer, so runs are first put together inside partitions by minimizer, in one shuffle;
+    the rounds that rank lists see only the pieces."""
+    linked = ids.join(follows, "id", "left").select("id.hi", "id.lo", "n", F.col("prev.hi").alias("phi"), F.col("prev.lo").alias("plo"))
+    near = linked.mapInArrow(_near(m), "hi long, lo long, n long, phi long, plo long, bucket long").repartition(shuffle_width(ids.sparkSession), "bucket")
+    piece = cut(near.mapInArrow(_segments, "hi long, lo long, phi long, plo long, first_hi long, first_lo long, body string, n_ids long, n long"))
+    piece = piece.select(F.struct("hi", "lo").alias("id"), F.when(F.col("phi").isNotNull(), F.struct(F.col("phi").alias("hi"), F.col("plo").alias("lo"))).alias("prev"), "first_hi", "first_lo", "body", "n_ids", "n")
+    pos = cut(list_positions(piece.select("id", "prev")).join(piece, "id"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), "").alias("body")
+    sums = [F.sum("n_ids").alias("n_ids"), F.sum("n").alias("n")]
+    start = F.min(F.when(F.col("pos") == 0, F.struct("first_hi", "first_lo"))).alias("s")
+    line = pos.filter("not is_cycle").groupBy("head").agg(body, start, *sums)
+    line = line.select(F.concat(F.substring(packed.text(F.col("s.first_hi"), F.col("s.first_lo"), m), 1, m - 1), "body").alias("seq"), "n_ids", "n", F.lit(False).alias("is_cycle"))
+    ring = pos.filter("is_cycle")
+    opened = list_positions(ring.select("id", F.when(F.col("id") != F.col("head"), F.col("prev")).alias("prev")))
+    ring = opened.select("id", "head", "pos").join(ring.select("id", "body", "n_ids", "n"), "id").groupBy("head").agg(body, *sums).select("body", "n_ids", "n")
+    return line.unionByName(ring.mapInArrow(_turned(m), "seq string, n_ids long, n long").withColumn("is_cycle", F.lit(True)))
 
 
 def runs(reads: DataFrame, k: int, least: int) -> DataFrame:
@@ -91,7 +166,7 @@ def unitigs(reads: DataFrame, k: int = 31, least: int = 2) -> DataFrame:
     bases = lambda c: packed.text(F.col(f"{c}.hi"), F.col(f"{c}.lo"), k)
     # a k-mer doesn't follow its own reverse complement: the run would turn into itself
     follows = one_out.join(one_in, "b").filter("a <> b").filter(bases("b") != S.revcomp(bases("a"))).select(F.col("b").alias("id"), F.col("a").alias("prev"))
-    ids = step.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("n", F.lit(1))
+    ids = step.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("n", F.lit(1).cast("long"))
     rows = _spelled(ids, follows, k).select("seq", F.col("n_ids").alias("n_kmers"), "is_cycle")
     straight = rows.filter("not is_cycle").select(S.canonical(F.col("seq")).alias("seq"), "n_kmers", "is_cycle").distinct()
     rings = rows.filter("is_cycle")  # the other strand opens at another k-mer: keep the strand with the lesser start
