@@ -78,6 +78,26 @@ def counted(k: int, column: str = "seq", rows: int = 2000):
     return run
 
 
+def placed(k: int, keep: tuple[str, ...]):
+    """An Arrow function from rows (*keep, seq) to (*keep, at, hi, lo): every k-mer as it stands, with its place from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [s or "" for s in batch.column("seq").to_pylist()]
+            codes = _CODE[np.frombuffer(("-".join(seqs) + "-").encode("latin-1", "replace"), np.uint8)]
+            if len(codes) < k:
+                continue
+            bad = np.r_[0, np.cumsum(codes > 3)]
+            at = np.flatnonzero(bad[k:] == bad[:-k])
+            hi, lo = (x[at] for x in windows(codes & 3, k))
+            starts = np.r_[0, np.cumsum([len(s) + 1 for s in seqs])]
+            row = np.searchsorted(starts, at, side="right") - 1
+            rows = batch.select(list(keep)).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((at - starts[row]).astype(np.int32)), pa.array(hi), pa.array(lo)], [*keep, "at", "hi", "lo"])
+
+    return run
+
+
 def reverse(hi: np.ndarray, lo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Reverse complements of packed k-mers, base by base over whole columns."""
     rhi, rlo = np.zeros_like(hi), np.zeros_like(lo)

@@ -45,3 +45,13 @@ def similar_reads(reads: DataFrame, k: int = 17, w: int = 17, least: int = 3, sh
     pairs = pairs.join(text.toDF("e1", "s1"), "e1").join(text.toDF("e2", "s2"), "e2").select(F.col("e1").alias("r1"), F.col("e2").alias("r2"), F.greatest(F.length("s1"), F.length("s2")).alias("longest"), "s1", "s2")
     scored = pairs.mapInArrow(_scores, "r1 long, r2 long, longest int, score int")
     return scored.filter((F.col("score") > share * F.col("longest")) & (F.col("longest") - F.col("score") < room))
+
+
+def similar_parallel(graph: DataFrame, longest: int = 1000, share: float = 0.5, room: int = 200) -> DataFrame:
+    """(r1, r2, longest, score), r1 < r2: contigs below ``longest`` between the same nodes whose sequences align as
+    ``similar_reads`` asks; of such contigs only one is needed."""
+    e = graph.filter(F.col("seq_len") < longest).select("edge_id", "node_from", "node_to", "seq")
+    side = lambda i: e.select(F.col("edge_id").alias(f"r{i}"), "node_from", "node_to", F.col("seq").alias(f"s{i}"))
+    pairs = side(1).join(side(2), ["node_from", "node_to"]).filter("r1 < r2").select("r1", "r2", F.greatest(F.length("s1"), F.length("s2")).alias("longest"), "s1", "s2")
+    scored = pairs.mapInArrow(_scores, "r1 long, r2 long, longest int, score int")
+    return scored.filter((F.col("score") > share * F.col("longest")) & (F.col("longest") - F.col("score") < room))

@@ -300,10 +300,12 @@ def bulges(contigs: DataFrame, longest: int = 1000, low: float = 0.8, high: floa
 
 def downstream_reach(contigs: DataFrame, cap: int = 1000) -> DataFrame:
     """(edge_id, reach): the most bases that an edge and all that follow it span, overlaps taken off, at most ``cap``.
-    Small values mark dead ends that a look at one edge doesn't show. Rounds go on until no reach changes; the cap ends
-    them on rings, too. An edge no longer than k adds nothing."""
-    e = cut(edges(contigs).select("edge_id", "u", "v", F.greatest(F.lit(0), F.col("seq_len") - F.col("k")).cast("long").alias("own")))
+    Small values mark dead ends that a look at one edge doesn't show. A ring goes on for ever, so what is on one or
+    between two has ``cap`` from the start; rounds go on until no reach changes. An edge no longer than k adds nothing."""
     top = F.lit(cap).cast("long")
+    core = cyclic_core(contigs).distinct().withColumn("core", F.lit(True))
+    e = edges(contigs).select("edge_id", "u", "v", F.greatest(F.lit(0), F.col("seq_len") - F.col("k")).cast("long").alias("own"))
+    e = cut(e.join(core, "edge_id", "left").withColumn("own", F.when(F.col("core"), top).otherwise(F.col("own"))).drop("core"))
     reach = e.select("u", "v", "edge_id", "own", F.least(top, "own").alias("reach"))
     last = None
     while last != (last := reach.agg(F.sum("reach")).first()[0]):
