@@ -67,10 +67,11 @@ def reading(text: str) -> str:
 
 
 @lru_cache(1 << 18)
-def _sign(word: str) -> str:
-    """A word in reading form, one sign for words with figures in them; empty for punctuation."""
+def _token(word: str) -> tuple[str, str, bool]:
+    """(sign, word, stop): a word's reading form, one sign for words with figures in them, empty for punctuation; and
+    whether it ends a sentence."""
     form = reading(word)
-    return "#" if any(c in "2346789" for c in form) else form
+    return "#" if any(c in "2346789" for c in form) else form, word, word[-1] in ".!?" and len(word) > 2
 
 
 _NAME = r"[^\W\d_](?:[\w.\- ]{0,60}\w)?"
@@ -80,34 +81,42 @@ _HARD = re.compile(
 _SOFT = re.compile(rf"<({_NAME})\s*>|«\s?({_NAME})\s?»|\$({_NAME})\$|\[({_NAME})\]|(?<!_)__({_NAME})__(?!_)|\{{\s?({_NAME})\s?\}}")
 _OPEN = re.compile(r"[{<«$\[]\s?(?:INSERT|insert)\b|\{\{|\{%|\$\{|#\{|<%=|%\(|%%|@@|\[\[|<!-")
 _IDENTIFIER = re.compile(r"(?:[a-z]+[A-Z][A-Za-z]*|[^\W_]+(?:_[^\W_]+)+|[a-z]+(?:\.[a-z]+)+|(?:INSERT|insert)[ _].*)")
+_CODES = re.compile("|".join(str(c).replace("0", "[0oO]").replace("1", "[1lI]").replace("5", "[5sS]") for c in STATUS))
 _ENTITY = re.compile(r"&([l1iIgq])[tf];")
 _BREAK = re.compile(r"[-­¬]\r?\n\s*")
 
 
-def _segments(text: str) -> list[list[tuple[str, str]]]:
-    """The text as runs of (sign, word), cut at the ends of sentences and where lines change from capitals to others:
-    a heading isn't the start of what follows it. Words broken over lines are joined first."""
+def _segments(text: str) -> list[list[tuple[str, str, bool]]]:
+    """The text as runs of tokens, cut at the ends of sentences and where lines change from capitals to others: a heading
+    isn't the start of what follows it. Words broken over lines are joined first."""
     runs, now, last = [], [], None
     for line in _BREAK.sub("", text).split("\n"):
+        words = line.split()
+        if not words:
+            continue
         capitals = line.isupper()
-        if now and last is not None and capitals != last:
-            runs.append(now)
-            now = []
-        if line and not line.isspace():
+        if capitals != last:
+            if now:
+                runs.append(now)
+                now = []
             last = capitals
-        for word in line.split():
-            if sign := _sign(word):
-                now.append((sign, word))
-            if word[-1] in ".!?" and len(word) > 2 and now:
+        for token in map(_token, words):
+            if token[0]:
+                now.append(token)
+            if token[2] and now:
                 runs.append(now)
                 now = []
     return runs + [now] if now else runs
 
 
+def _stream(run: list[tuple[str, str, bool]]) -> str:
+    return "".join([t[0] for t in run])
+
+
 def _parts(text: str) -> set[tuple[str, ...]]:
     found = set()
     for run in _segments(text):
-        signs = [s for s, _ in run]
+        signs = [t[0] for t in run]
         for n in range(1, WORDS + 1):
             found.update(p for i in range(len(signs) - n + 1) if sum(map(len, p := tuple(signs[i : i + n]))) >= LEAST)
     return found
@@ -133,12 +142,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([("part", pa.string()), ("n", pa.int64())], [(" ".join(p), c) for p, c in n.items()])
 
 
-def _automaton(parts) -> ahocorasick.Automaton | None:
+def _automaton(parts) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for p in parts:
+    for p in parts or ["\0"]:  # it needs a word
         found.add_word(p, p)
-    if not len(found):
-        return None
     found.make_automaton()
     return found
 
@@ -151,7 +158,7 @@ def _count(parts: list[str]):
         n: Counter = Counter()
         for batch in batches:
             for text, short in zip(batch.column("text").to_pylist(), batch.column("short").to_pylist()):
-                stream = "|".join("".join(s for s, _ in r) for r in _segments(text))
+                stream = "|".join(map(_stream, _segments(text)))
                 n.update((p, short) for p in {p for _, p in search.iter(stream)})
         yield _rows([("part", pa.string()), ("short", pa.bool_()), ("n", pa.int64())], [(*k, c) for k, c in n.items()])
 
@@ -195,11 +202,11 @@ def learn(docs: DataFrame, length: float = 0.25, support: float = 0.0005, lift:
     return got
 
 
-def _messages(text: str, search) -> Iterator[tuple[list[tuple[str, str]], list[bool]]]:
+def _messages(runs: list[list[tuple[str, str, bool]]], search) -> Iterator[tuple[list[tuple[str, str, bool]], list[bool]]]:
     """Segments that hold a stretch of parts of ``SIGNS`` or more, and which of their words the stretches cover."""
-    for run in _segments(text):
+    for run in runs:
         covered: list[list[int]] = []
-        for end, part in search.iter("".join(s for s, _ in run)):
+        for end, part in search.iter(_stream(run)):
             start = end + 1 - len(part)
             while covered and covered[-1][1] >= start:
                 start = min(start, covered.pop()[0])
@@ -207,7 +214,7 @@ def _messages(text: str, search) -> Iterator[tuple[list[tuple[str, str]], list[b
         covered = [c for c in covered if c[1] - c[0] >= SIGNS]
         if covered:
             at, hit = 0, []
-            for sign, _ in run:
+            for sign, _, _ in run:
                 hit.append(any(a < at + len(sign) and at < b for a, b in covered))
                 at += len(sign)
             yield run, hit
@@ -218,9 +225,9 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(left[-3:]), " ".join(right[:3])
 
 
-def _stretches(run: list[tuple[str, str]], hit: list[bool]) -> Iterator[tuple[str, str, str]]:
+def _stretches(run: list[tuple[str, str, bool]], hit: list[bool]) -> Iterator[tuple[str, str, str]]:
     """(words, three before, three after) of the covered stretches of a segment."""
-    words = [w for _, w in run]
+    words = [t[1] for t in run]
     i = 0
     while i < len(hit):
         j = i
@@ -231,6 +238,9 @@ def _stretches(run: list[tuple[str, str]], hit: list[bool]) -> Iterator[tuple[st
         i = max(j, i + 1)
 
 
+_FIRST = reading(FILLER)
+
+
 def _seeds() -> list[tuple[str, str, str]]:
     return [("status", f"{code} {name}", reading(f"{code} {name}")) for code, name in STATUS.items()] + [("filler", FILLER, reading(FILLER))]
 
@@ -238,18 +248,20 @@ def _seeds() -> list[tuple[str, str, str]]:
 def _sites(parts: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _automaton(parts)
-        seeds = _automaton(s for _, _, s in _seeds())
+        seeds = _automaton([s for _, _, s in _seeds()])
         named = {s: (kind, cue) for kind, cue, s in _seeds()}
         for batch in batches:
             rows: list[tuple] = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if not raw or raw.isspace():
                     continue
-                for segment, hit in _messages(raw, search) if search else ():
-                    rows += [(doc, "message", cue, None, before, after) for cue, before, after in _stretches(segment, hit)]
                 text = _BREAK.sub("", raw)
-                form = reading(text)
-                rows += [(doc, *named[s], None, form[max(0, end - len(s) - 13) : end + 1 - len(s)], form[end + 1 : end + 15]) for end, s in seeds.iter(form)]
+                runs = _segments(raw)
+                for segment, hit in _messages(runs, search):
+                    rows += [(doc, "message", cue, None, before, after) for cue, before, after in _stretches(segment, hit)]
+                if _CODES.search(text) or any(_FIRST in _stream(run) for run in runs):
+                    form = reading(text)
+                    rows += [(doc, *named[s], None, form[max(0, end - len(s) - 13) : end + 1 - len(s)], form[end + 1 : end + 15]) for end, s in seeds.iter(form)]
                 if "&" in text:
                     text = html.unescape(_ENTITY.sub(lambda m: "&lt;" if m[1] in "l1iI" else "&gt;", text))
                 if any(c in text for c in "{<«$[%@_#"):
@@ -290,14 +302,14 @@ def templates(docs: DataFrame, parts: Parts | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if not text or not search:
+                if not text:
                     continue
-                for segment, hit in _messages(text, search):
+                for segment, hit in _messages(_segments(text), search):
                     kept: list[str] = []
-                    for (sign, _), h in zip(segment, hit):
+                    for (sign, _, _), h in zip(segment, hit):
                         if h or not kept or kept[-1] != "{}":
                             kept.append(sign if h else "{}")
-                    rows.append((doc, " ".join(kept), " ".join(s for (s, _), h in zip(segment, hit) if not h)))
+                    rows.append((doc, " ".join(kept), " ".join(t[0] for t, h in zip(segment, hit) if not h)))
             yield _rows([("doc_id", pa.int64()), ("template", pa.string()), ("filling", pa.string())], rows)
 
     found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, template string, filling string").distinct()
