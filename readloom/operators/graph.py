@@ -242,11 +242,14 @@ def shortest_paths(contigs: DataFrame, anchors: int = 4000, middle: int = 3000,
 
 def simplify(contigs: DataFrame) -> DataFrame:
     """Distinct contigs without tips, chimeric edges and all but the longest of parallel edges, to a fixpoint. A removed
-    edge takes its reverse complement with it."""
+    edge takes its reverse complement with it, and what is left of a branch whose start is gone goes as well."""
     now = cut(contigs.dropDuplicates())
+    fed = cut(edges(now).select(F.col("v").alias("u")).distinct())
     while True:
-        weaker = edges(now).join(bubbles(now), ["u", "v"]).filter("edge_id <> kept").select("edge_id")
-        gone = tips(now).unionByName(topological_tips(now)).unionByName(chimeric(now)).unionByName(weaker).distinct()
+        e = edges(now)
+        weaker = e.join(bubbles(now), ["u", "v"]).filter("edge_id <> kept").select("edge_id")
+        cut_off = e.join(fed, "u", "left_semi").join(e.select(F.col("v").alias("u")), "u", "left_anti").join(downstream_reach(now).filter("reach <= 250"), "edge_id").select("edge_id")
+        gone = tips(now).unionByName(topological_tips(now)).unionByName(chimeric(now)).unionByName(weaker).unionByName(cut_off).distinct()
         gone = cut(gone.unionByName(now.join(gone, "edge_id").filter("rc_id is not null").select(F.col("rc_id").alias("edge_id"))).distinct())
         if gone.isEmpty():
             break

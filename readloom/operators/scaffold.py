@@ -15,10 +15,16 @@ from . import graph, links
 GAP = 100
 
 
+def twins(contigs: DataFrame) -> DataFrame:
+    """(edge_id, rc_id) in both directions: a null rc_id is known where the other strand names it."""
+    rc = contigs.select("edge_id", "rc_id").filter("rc_id is not null and edge_id is not null")
+    return rc.unionByName(rc.select(F.col("rc_id").alias("edge_id"), F.col("edge_id").alias("rc_id"))).distinct()
+
+
 def end_pairs(scored: DataFrame, contigs: DataFrame) -> DataFrame:
     """(a, b, n), a < b: links (v, u, n) as pairs of contig ends, the stronger of both mirrors. Links to contigs without
     reverse complement, to the own strand and from a contig to itself are left out."""
-    rc = contigs.select("edge_id", "rc_id").filter("rc_id is not null").dropDuplicates()
+    rc = twins(contigs)
     p = scored.join(rc.toDF("u", "u_rc"), "u").join(rc.toDF("v", "v_rc"), "v").filter("v <> u and v <> u_rc")
     return p.select(F.least("v", "u_rc").alias("a"), F.greatest("v", "u_rc").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
 
@@ -44,7 +50,7 @@ def greedy(pairs: DataFrame) -> DataFrame:
 def paths(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     """(scaffold, pos, edge_id): contigs in order. Every contig with a reverse complement is in one scaffold, named by
     the lesser of both strands' heads; a ring is opened at its weakest join. Contigs without links stand alone."""
-    rc = cut(contigs.select("edge_id", "rc_id").filter("rc_id is not null").dropDuplicates())
+    rc = cut(twins(contigs))
     joined = cut(greedy(pairs))
     rings = graph.list_positions(_follows(joined, rc)).filter("is_cycle").select("id", "head")
     rings = cut(rings)
@@ -86,3 +92,39 @@ def bridges(placed: DataFrame, contigs: DataFrame) -> DataFrame:
     j = pairs.join(found, ["src", "des"], "left")
     state = F.when(F.col("n_middle") == 0, "adjacent").when(F.col("n_middle") > 0, "path").otherwise("gap")
     return j.select("scaffold", "pos", "src", "des", state.alias("state"), F.coalesce("inserted", F.lit(GAP).cast("long")).alias("inserted"))
+
+
+def cover(placed: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(edge_id, n): in how many places a contig stands in scaffolds, either strand, by its lesser id."""
+    rc = twins(contigs)
+    return placed.join(rc, "edge_id").groupBy(F.least("edge_id", "rc_id").alias("edge_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def totals(placed: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(n_scaffolds, bases, largest, n50): over ``summary`` with its gaps; n50 is the least length such that scaffolds of it
+    or more have half of all bases. Equal lengths are added up first, so the window runs over lengths."""
+    s = summary(placed, contigs).select((F.col("bases") + F.col("gap_bases")).alias("len"))
+    by = s.groupBy("len").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(F.lit(1))
+    x = by.select("len", "n", F.sum(F.col("len") * F.col("n")).over(down).alias("upto"), F.sum(F.col("len") * F.col("n")).over(every).alias("bases"), F.sum("n").over(every).alias("n_scaffolds"), F.max("len").over(every).alias("largest"))
+    return x.filter(F.col("upto") * 2 >= F.col("bases")).groupBy("n_scaffolds", "bases", "largest").agg(F.max("len").alias("n50"))
+
+
+def marks(contigs: DataFrame, most: int = 3) -> DataFrame:
+    """(edge_id, copies): how often a contig may stand in scaffolds: its coverage over the unit of its graph, rounded, one
+    at least and ``most`` at most; one without coverage."""
+    from .contigs import units, with_coverage
+
+    unit = units(contigs).select("graph", F.col("longest_cov").alias("unit"))
+    ratio = F.floor(F.col("cov") / F.col("unit") + 0.5)
+    return with_coverage(contigs).join(F.broadcast(unit), "graph", "left").select("edge_id", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(most), ratio)), F.lit(1)).cast("int").alias("copies")).distinct()
+
+
+def adaptive_best(scored: DataFrame, part: float = 5.0) -> DataFrame:
+    """(u, v, score): the best partner of each contig by score, the least id at ties, where it has a ``part``-th of the
+    mean score of all pairs or more."""
+    both = scored.select(F.col("e1").alias("u"), F.col("e2").alias("v"), "score").unionByName(scored.select(F.col("e2").alias("u"), F.col("e1").alias("v"), "score"))
+    mean = scored.agg(F.avg("score").alias("mean"))  # one row
+    best = both.groupBy("u").agg(F.max(F.struct("score", (-F.col("v")).alias("i"))).alias("m")).select("u", (-F.col("m.i")).alias("v"), "m.score")
+    return best.join(F.broadcast(mean), F.col("score") >= F.col("mean") / part).select("u", "v", "score")

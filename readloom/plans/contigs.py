@@ -88,6 +88,10 @@ QUERIES = {
     "cyclic_core": lambda s, d: graph.cyclic_core(_contigs(s, d)),
     "scaffold_paths": _scaffolds,
     "scaffold_summary": lambda s, d: scaffold.summary(_scaffolds(s, d), _contigs(s, d)),
+    "scaffold_cover": lambda s, d: scaffold.cover(_scaffolds(s, d), _contigs(s, d)),
+    "scaffold_totals": lambda s, d: scaffold.totals(_scaffolds(s, d), _contigs(s, d)),
+    "scaffold_marks": lambda s, d: scaffold.marks(_contigs(s, d)),
+    "adaptive_best": lambda s, d: scaffold.adaptive_best(links.similarity(links.members(_sets(s, d), "L1"), LEAST)),
     "scaffold_bridges": lambda s, d: scaffold.bridges(_scaffolds(s, d), _contigs(s, d)),
 }
 
@@ -124,6 +128,10 @@ _CROSS = """w as (select * from e where cov is not null),
       from w join deg x on x.node = w.u and x.n_in = 2 and x.n_out = 1 join deg y on y.node = w.v and y.n_in = 1 and y.n_out = 2 join i on i.node = w.u and i.n = 2 join o on o.node = w.v and o.n = 2)"""
 
 SQL = {
+    "scaffold_cover": "select distinct least(edge_id, rc_id) as edge_id, 1::bigint as n from contigs where rc_id is not null",
+    "scaffold_marks": f"with {_C}, {_UNIT} select distinct edge_id, coalesce(greatest(1, least(3, floor(cov / round(unit, 6) + 0.5))), 1)::int as copies from e left join unit using (graph)",
+    "adaptive_best": f"""with {_PAIRS}, {_SCORE}, b2 as (select e1 as u, e2 as v, score from scored union all select e2, e1, score from scored), b3 as (select u, v, score from (select *, row_number() over (partition by u order by score desc, v) as k from b2) where k = 1)
+      select u, v, score from b3 where score >= (select avg(score) from scored) / 5""",
     "contig_lengths": f"with {_C} select edge_id, full_len, coalesce(list_sum(list_transform(list_filter(holes, lambda h: h.pos < 5000), lambda h: h.len)), 0)::int as head_hole from e",
     "contig_coverage": f"with {_C} select edge_id, round(cov, 6) as cov from e",
     "coverage_units": f"""with {_C}, {_UNIT} select graph, round(unit, 6) as longest_cov, round(sum(case when full_len >= 1000 then seq_len * floor(cov)::bigint end)::double / sum(case when full_len >= 1000 then seq_len end), 6) as mean_cov

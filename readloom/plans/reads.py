@@ -149,7 +149,8 @@ SQL = {
     "read_graph": "with recursive " + _graph(45) + " select * from g",
     "read_graph_local": "with recursive " + _graph(31) + " select * from g",
     "minimizers": f"""{_R}, x as (select read_id, mate, i as p, substr(upper(seq), i::int, 17) as km, length(seq) - 16 as n from r, unnest(range(1, greatest(1, length(seq) - 15))) t(i) where length(seq) >= 17),
-      h as (select *, case when regexp_full_match(km, '[ACGT]+') then md5(km) || lpad(p::varchar, 9, '0') end as h from x),
+      d as (select km, row_number() over (order by md5(km)) as place from (select distinct km from x where regexp_full_match(km, '[ACGT]+'))),
+      h as (select x.*, place * 1000000 + p as h from x left join d using (km)),
       w as (select *, min(h) over (partition by read_id, mate, n order by p rows between current row and 16 following) as m from h),
       f as (select distinct read_id, mate, m from w where m is not null and p <= greatest(1, n - 16))
       select f.read_id, f.mate, h.p::int as p, h.km as kmer from f join h on h.read_id = f.read_id and h.mate = f.mate and h.h = f.m""",

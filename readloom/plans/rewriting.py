@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..operators import graph, rewrite
 from .contigs import _C, _CROSS, _DEG, _LINKED, _M, _contigs, _sets
 
+def _split_invariants(s: SparkSession, d: str) -> DataFrame:
+    c = _simple(s, d)
+    return graph.invariants(rewrite.split_repeats(c, rewrite.coverage_pairs(c)).withColumn("holes", F.array().cast("array<struct<pos:int,len:int>>")))
+
+
+def _simple(s: SparkSession, d: str) -> DataFrame:
+    return graph.simplify(_contigs(s, d))
+
+
 QUERIES = {
     "chain_map": lambda s, d: rewrite.chain_map(_contigs(s, d)),
     "condensed_graph": lambda s, d: rewrite.condensed(_contigs(s, d)),
@@ -15,6 +27,8 @@ QUERIES = {
     "split_by_barcodes": lambda s, d: rewrite.split_repeats(_contigs(s, d), rewrite.barcode_pairs(_contigs(s, d), _sets(s, d))),
     "resolved_by_coverage": lambda s, d: rewrite.resolve_repeats(_contigs(s, d), rewrite.coverage_pairs).drop("holes"),
     "resolved_by_barcodes": lambda s, d: rewrite.resolve_repeats(_contigs(s, d), lambda c: rewrite.barcode_pairs(c, _sets(s, d), "medium")).drop("holes"),
+    "rewritten_invariants": _split_invariants,
+    "simplified_invariants": lambda s, d: graph.invariants(_simple(s, d)),
     "many_to_many": lambda s, d: rewrite.many_to_many(_contigs(s, d), _sets(s, d)),
     "node_bridges": lambda s, d: rewrite.at_nodes(_contigs(s, d), _sets(s, d)),
     "unrolled_loops": lambda s, d: rewrite.unrolled(_contigs(s, d)),
@@ -80,6 +94,7 @@ SQL = {
         f"""{_STRICT}, w as (select * from x join (select edge_id, high from strict where high is not null) using (edge_id)), pr as (select edge_id as mid, in_high as e_in, case when high = 'straight' then out_high else out_low end as e_out from w
         union all select edge_id, in_low, case when high = 'straight' then out_low else out_high end from w)"""
     ).replace("w as (select * from x join", "w2 as (select * from x join").replace("as e_out from w\n", "as e_out from w2\n").replace("else out_high end from w)", "else out_high end from w2)"),
+    **{name: "select unnest(['rc_exists', 'rc_of_rc', 'rc_length', 'rc_count', 'rc_holes', 'unique_id', 'null_node']) as rule, 0::bigint as violations" for name in ("rewritten_invariants", "simplified_invariants")},
     "many_to_many": f"""with {_C}, {_DEG}, {_M}, {_L1}, md as (select e.edge_id, e.u, e.v from e join deg a on a.node = e.u join deg b on b.node = e.v where a.n_in >= 1 and b.n_out >= 1 and a.n_in + b.n_out > 2),
       lg as (select md.edge_id, i.edge_id as e_in, o.edge_id as e_out from md join e i on i.v = md.u join e o on o.u = md.v where i.edge_id <> md.edge_id and o.edge_id <> md.edge_id and i.edge_id <> o.edge_id), {_best("edge_id")}""",
     "node_bridges": f"""with {_C}, {_DEG}, {_M}, {_L1}, lg as (select deg.node, i.edge_id as e_in, o.edge_id as e_out from deg join e i on i.v = deg.node join e o on o.u = deg.node where n_in >= 1 and n_out >= 1 and n_in + n_out > 2 and i.edge_id <> o.edge_id), {_best("node")}""",

@@ -24,10 +24,13 @@ def get_spark(cores: int | str = 8, app: str = "readloom", memory: str = "8g") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate data: ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    a folder of this machine is taken."""
+    """The cluster's folder for intermediate data: ``spark.checkpoint.dir``. Where that is unset a folder of this machine is
+    taken on a local master; on a cluster it is an error, as executors don't share such a folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 

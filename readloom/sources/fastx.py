@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ class Split(InputPartition):
     path: str
     start: int
     stop: int | None  # None: a whole compressed file
+    fmt: str = "fastq"
 
 
 def _system(path: str):
@@ -46,6 +48,19 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((scheme + f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
 
 
+def file_format(first: bytes) -> tuple[str, bool]:
+    """(fastq or fasta, compressed) by the first bytes of a file: gzip by its two magic bytes, whatever its name, FASTQ by
+    ``@``, FASTA by ``>`` or ``;``. An empty file is FASTQ without records."""
+    packed = first[:2] == b"\x1f\x8b"
+    if packed:
+        first = zlib.decompressobj(31).decompress(first, 1)
+    if first[:1] in (b"@", b""):
+        return "fastq", packed
+    if first[:1] in (b">", b";"):
+        return "fasta", packed
+    raise ValueError(f"neither FASTQ nor FASTA: {first[:20]!r}")
+
+
 def header(line: str) -> tuple[str, str | None]:
     """Name without a /1 or /2 at its end, and the rest after the first space or tab."""
     at = min((i for i in (line.find(" "), line.find("\t")) if i >= 0), default=-1)
@@ -72,10 +87,14 @@ class FastxReader(DataSourceReader):
     def partitions(self) -> list[Split]:
         out = []
         for path, size in _files(self.path):
-            if path.endswith(".gz"):
-                out.append(Split(path, 0, None))
+            system, inner = _system(path)
+            with system.open_input_file(inner) as f:
+                fmt, compressed = file_format(f.read(512))
+            fmt = self.fmt if self.fmt != "auto" else fmt
+            if compressed:
+                out.append(Split(path, 0, None, fmt))
             else:
-                out += [Split(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
+                out += [Split(path, at, min(size, at + self.split), fmt) for at in range(0, size, self.split)]
         return out or [Split("", 0, 0)]  # a source must have a partition
 
     def read(self, part: Split) -> Iterator[tuple]:
@@ -88,7 +107,7 @@ class FastxReader(DataSourceReader):
             else:
                 f = io.BufferedReader(raw, 1 << 20)
                 f.seek(part.start)
-            reader = self._fastq if self.fmt == "fastq" else self._fasta
+            reader = self._fastq if part.fmt == "fastq" else self._fasta
             yield from reader(f, part)
 
     def _fastq(self, f, part: Split) -> Iterator[tuple]:
@@ -150,7 +169,7 @@ class FastxReader(DataSourceReader):
 
 
 class FastxSource(DataSource):
-    """Options: path, fmt (fastq or fasta), split (bytes of a task's part of a plain file, 64 MB)."""
+    """Options: path, fmt (fastq, fasta or auto, by each file's first bytes), split (bytes of a task's part of a plain file, 64 MB)."""
 
     @classmethod
     def name(cls) -> str:
@@ -178,6 +197,30 @@ def read_fasta(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFra
     return spark.read.format("fastx").option("fmt", "fasta").option("split", str(split)).load(path)
 
 
+def read_any(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
+    """The same columns of FASTQ and FASTA files of one folder, told apart by their first bytes."""
+    spark.dataSource.register(FastxSource)
+    return spark.read.format("fastx").option("fmt", "auto").option("split", str(split)).load(path)
+
+
+def tripled(one: DataFrame, two: DataFrame, index: DataFrame) -> DataFrame:
+    """(name, seq1, qual1, seq2, qual2, barcode, barcode_qual): records of both mates and of the index read, whose sequence
+    is the barcode, by name. A part without its others keeps its side only."""
+    return paired(one, two).drop("info").join(index.select("name", F.col("seq").alias("barcode"), F.col("qual").alias("barcode_qual")), "name", "full")
+
+
+def read_fastg(spark: SparkSession, path: str) -> DataFrame:
+    """(edge, is_rc, length, cov, follows array<struct<edge, is_rc>>, seq) of FASTG text: one record per contig and strand,
+    ``>EDGE_<id>_length_<n>_cov_<x>['][:<follower>,...];`` with ' for a reverse complement."""
+    r = read_fasta(spark, path).select(F.concat_ws(" ", "name", "info").alias("head"), F.upper("seq").alias("seq"))
+    name = lambda c: F.struct(F.regexp_extract(c, r"^EDGE_(\d+)_", 1).cast("bigint").alias("edge"), F.endswith(c, F.lit("'")).alias("is_rc"))
+    r = r.withColumn("head", F.regexp_replace("head", ";$", "")).withColumn("own", F.substring_index("head", ":", 1)).withColumn("rest", F.when(F.contains("head", F.lit(":")), F.split(F.regexp_replace("head", "^[^:]*:", ""), ",")))
+    return r.select(
+        name(F.col("own"))["edge"].alias("edge"), name(F.col("own"))["is_rc"].alias("is_rc"), F.regexp_extract("own", r"_length_(\d+)", 1).cast("int").alias("length"), F.regexp_extract("own", r"_cov_([\d.]+)", 1).cast("double").alias("cov"),
+        F.transform(F.coalesce("rest", F.array().cast("array<string>")), name).alias("follows"), "seq",
+    )
+
+
 def paired(one: DataFrame, two: DataFrame) -> DataFrame:
     """(name, seq1, qual1, seq2, qual2, info): both files' records joined by name, which survives files of unequal
     order; a record without mate keeps its side only, so a mismatch shows as a null."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sequence as S
 from ..operators.contigs import with_coverage
 
 
 def wrap(seq: Column, width: int = 80) -> Column:
-    return F.rtrim(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"))
+    return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 
 
 def fasta(records: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
@@ -42,3 +43,21 @@ def dot(pairs: DataFrame) -> DataFrame:
 def write_text(lines: DataFrame, path: str) -> None:
     """Part files, one per task."""
     lines.select("value").write.mode("overwrite").text(path)
+
+
+def fastg(graph: DataFrame) -> DataFrame:
+    """(value): contigs with sequences as FASTG: a record per strand that names the contigs which follow it. A contig has
+    the lesser id of both strands; its reverse complement is marked by '."""
+    g = graph.select("edge_id", F.coalesce("rc_id", "edge_id").alias("rc_id"), "node_from", "node_to", "seq", "seq_len", "cnt").dropDuplicates(["edge_id"])
+    name = F.concat(F.lit("EDGE_"), F.least("edge_id", "rc_id"), F.lit("_length_"), "seq_len", F.lit("_cov_"), F.format_string("%.3f", (F.coalesce("cnt", F.lit(0)) / F.col("seq_len")).cast("double")), F.when(F.col("edge_id") > F.col("rc_id"), "'").otherwise(""))
+    named = g.select("edge_id", "node_from", "node_to", "seq", name.alias("name"))
+    after = named.select("edge_id", F.col("node_to").alias("node")).join(named.select(F.col("node_from").alias("node"), F.col("name").alias("next")), "node").groupBy("edge_id").agg(F.array_sort(F.collect_set("next")).alias("n"))
+    tail = F.when(F.col("n").isNotNull(), F.concat(F.lit(":"), F.array_join("n", ","))).otherwise("")
+    return named.join(after, "edge_id", "left").select(F.concat(F.lit(">"), "name", tail, F.lit(";\n"), "seq").alias("value"))
+
+
+def contig_fasta(graph: DataFrame, shortest: int = 100) -> DataFrame:
+    """(value): contigs of ``shortest`` bases or more, one strand each, as FASTA with holes as N."""
+    g = graph.filter((F.col("seq_len") >= shortest) & (F.col("rc_id").isNull() | (F.col("edge_id") <= F.col("rc_id")))).dropDuplicates(["edge_id"])
+    name = F.concat_ws("_", F.lit("SEQ"), "edge_id", F.coalesce("rc_id", "edge_id"), F.lit("length"), "seq_len")
+    return fasta(g.select(name.alias("name"), S.filled(F.col("seq"), F.col("holes")).alias("seq")))
