@@ -36,25 +36,30 @@ def heavy_keys_mode(df: DataFrame, key: str, value: str, share: float, absent: i
     return per_key.filter(F.col("n_rows") >= F.lit(share) * total.scalar()).select(key, (-F.col("best.v")).cast(df.schema[value].dataType).alias(out or value))
 
 
-def weighted_percentiles(freq: DataFrame, key: str, value: str, shares: Sequence[float], width: int = 256) -> DataFrame:
+def weighted_percentiles(freq: DataFrame, key: str, value: str, shares: Sequence[float], fan: int = 1024) -> DataFrame:
     """(key, share, value): the smallest value with at least ``share`` of the key's weight at or below it.
 
-    Two steps keep every window small: running weights over bins of ``width`` values find the bin that holds the
-    answer, and only that bin's values are then ordered. Null values have no weight. ``value`` must be integral.
+    The range of all values is cut into ``fan`` bins, the bin that holds the answer into ``fan`` again, and so on down to
+    single values, so a window runs over ``fan`` rows of a key at most, however many values it has. Null values have no
+    weight. ``value`` must be integral.
     """
-    freq = freq.filter(F.col(value).isNotNull()).withColumn("bin", F.floor(F.col(value) / width))
-    bins = freq.groupBy(key, "bin").agg(F.sum("n").alias("bin_n"))
-    order = Window.partitionBy(key).orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("bin_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("bin_n").over(Window.partitionBy(key)))
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
-    need = F.ceil(F.col("share") * F.col("total"))
-    bins = bins.withColumn("share", wanted).withColumn("need", F.greatest(need, F.lit(1)))
-    bins = bins.filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("bin_n") < F.col("need")))
-    bins = bins.select(F.col(key).alias("_k"), F.col("bin").alias("_b"), "share", (F.col("need") - F.col("upto") + F.col("bin_n")).alias("rest"))
-    inside = freq.join(bins, F.col(key).eqNullSafe(F.col("_k")) & (F.col("bin") == F.col("_b")))
-    order = Window.partitionBy(key, "share").orderBy(value)
-    inside = inside.withColumn("seen", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return inside.filter(F.col("seen") >= F.col("rest")).groupBy(key, "share").agg(F.min(value).alias(value))
+    freq = freq.filter(F.col(value).isNotNull())
+    low, high = freq.agg(F.min(value), F.max(value)).first()
+    widths = [1]
+    while low is not None and (high - low) // widths[0] >= fan:
+        widths.insert(0, widths[0] * fan)
+    offset = F.col(value).cast("long") - F.lit(low or 0)
+    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    chosen = freq.groupBy(F.col(key).alias("_k")).agg(F.sum("n").alias("total")).select("_k", "total", wanted)
+    chosen = chosen.select("_k", "share", F.greatest(F.ceil(F.col("share") * F.col("total")), F.lit(1)).alias("rest"), F.lit(0).cast("long").alias("_b"))
+    order = Window.partitionBy("_k", "share").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    for i, width in enumerate(widths):
+        outer = F.floor(offset / widths[i - 1]) if i else F.lit(0).cast("long")
+        inside = freq.withColumn("_outer", outer).join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_outer") == F.col("_b")))
+        bins = inside.groupBy("_k", "share", "rest", F.floor(offset / width).alias("bin")).agg(F.sum("n").alias("bin_n")).withColumn("upto", F.sum("bin_n").over(order))
+        bins = bins.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("bin_n") < F.col("rest")))
+        chosen = bins.select("_k", "share", (F.col("rest") - F.col("upto") + F.col("bin_n")).alias("rest"), F.col("bin").alias("_b"))
+    return chosen.select(F.col("_k").alias(key), "share", (F.col("_b") + F.lit(low or 0)).cast(freq.schema[value].dataType).alias(value))
 
 
 def key_profile(df: DataFrame, key: str, value: str, absent: int = -1) -> DataFrame:

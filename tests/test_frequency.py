@@ -58,3 +58,14 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert frequency.heavy_keys_mode(df, "barcode", "len1", 0.01).collect() == []
     assert frequency.key_profile(df, "barcode", "len1").collect() == []
+
+
+def test_percentiles_over_wide_ranges(spark):
+    """Values far apart: the bins nest over several levels, and every one of them holds an answer of some key."""
+    rng = random.Random(6)
+    values = {k: [rng.choice([-(10**12), 0, 5, 10**6, 10**6 + 1, 10**15]) + rng.randrange(3) for _ in range(200)] for k in range(20)}
+    weights = Counter((k, v) for k, vs in values.items() for v in vs)
+    df = spark.createDataFrame([(k, v, n) for (k, v), n in weights.items()] + [(3, None, 99)], "k long, v long, n long")
+    for fan in (4, 1024):
+        got = {(r["k"], r["share"]): r["v"] for r in frequency.weighted_percentiles(df, "k", "v", (0.0, 0.5, 0.9, 1.0), fan).collect()}
+        assert got == {(k, s): sorted(vs)[max(1, -(-int(s * 10) * len(vs) // 10)) - 1] for k, vs in values.items() for s in (0.0, 0.5, 0.9, 1.0)}
