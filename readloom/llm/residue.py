@@ -168,7 +168,7 @@ def _count(parts: list[str]):
 def learn(docs: DataFrame, length: float = 0.25, support: float = 0.0005, lift: float = 10.0, common: float = 2.0) -> Parts:
     """Parts of message templates of a corpus (doc_id, text).
 
-    A page is short if it has fewer than ``length`` times the words of the median page. A part stands in at least
+    A page is short if it has fewer than ``length`` times the characters of the median page. A part stands in at least
     ``support`` of all short pages (a single word in two or more of them at that) and in two documents or more, and its
     share of the short pages is at least ``lift`` times that of the others. Parts that hold a run of words which is less
     than ``common`` times as frequent on short pages, such as headings, are newspaper text. The support bounds the parts
@@ -176,9 +176,9 @@ def learn(docs: DataFrame, length: float = 0.25, support: float = 0.0005, lift:
     documents count as often as they stand. A phrase that a message shares with print is told by its frequency only, so one
     printed in a few pages is still a part. A corpus without short pages, or of short pages only, has no parts.
     """
-    pages = docs.select("text").filter(F.trim(F.regexp_replace("text", r"\s", " ")) != "").withColumn("words", F.size(F.split(F.trim("text"), r"\s+")))
-    median = pages.agg(F.percentile_approx("words", 0.5)).first()[0]
-    pages = pages.select("text", (F.col("words") < length * (median or 0)).alias("short"))
+    pages = docs.select("text").withColumn("letters", F.length(F.btrim("text", F.lit(" \t\r\n\v\f")))).filter("letters > 0")
+    median = pages.agg(F.percentile_approx("letters", 0.5)).first()[0]
+    pages = pages.select("text", (F.col("letters") < length * (median or 0)).alias("short"))
     n_short, n_other = pages.agg(F.count(F.when(F.col("short"), 1)), F.count(F.when(~F.col("short"), 1))).first()
     got = Parts(n_short, n_other)
     if not n_short or not n_other:
