@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, rewrite
+from ..operators import graph, regions, rewrite
 from .contigs import _C, _CROSS, _DEG, _LINKED, _M, _contigs, _sets
 
 def _split_invariants(s: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,10 @@ QUERIES = {
     "unrolled_loops": lambda s, d: rewrite.unrolled(_contigs(s, d)),
     "diamonds": lambda s, d: rewrite.diamonds(_contigs(s, d)),
     "without_bulges": lambda s, d: rewrite.without_bulges(_contigs(s, d)).drop("holes"),
+    "dominated_nodes": lambda s, d: regions.dominated(_contigs(s, d)),
+    "bulge_regions": lambda s, d: regions.summary(_contigs(s, d)),
+    "bulge_removals": lambda s, d: regions.removals(_contigs(s, d)),
+    "without_complex_bulges": lambda s, d: regions.without_complex_bulges(_contigs(s, d)).drop("holes"),
     "topological_tips": lambda s, d: graph.topological_tips(_contigs(s, d)),
     "short_components": lambda s, d: rewrite.short_components(_contigs(s, d)),
     "region_legs": lambda s, d: rewrite.region_legs(_contigs(s, d)),
