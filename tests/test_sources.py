@@ -37,3 +37,30 @@ def test_contigs_with_holes(spark):
 def test_fasta_lines(spark):
     df = spark.createDataFrame([("a", "A" * 161), ("b", None)], "name string, seq string")
     assert [r[0] for r in sinks.fasta(df).collect()] == [">a\n" + "A" * 80 + "\n" + "A" * 80 + "\nA"]
+
+
+def test_formats_by_first_bytes(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("@r1 x\nACGT\n+\nFFFF\n")
+    (tmp_path / "b").write_text(">s1\nAC\nGT\n>s2\n\n")
+    with gzip.open(tmp_path / "c.data", "wt") as f:  # compressed, whatever its name
+        f.write("@r2\nGG\n+\nII\n")
+    (tmp_path / "d").write_text("")
+    got = {(r["name"], r["seq"], r["qual"]) for r in fastx.read_any(spark, str(tmp_path)).collect()}
+    assert got == {("r1", "ACGT", "FFFF"), ("s1", "ACGT", None), ("s2", "", None), ("r2", "GG", "II")}
+    with pytest.raises(ValueError, match="neither"):
+        fastx.file_format(b"name,seq\n")
+
+
+def test_index_reads_join_by_name(spark):
+    schema = "name string, info string, seq string, qual string"
+    one = spark.createDataFrame([("a", None, "AC", "FF"), ("b", None, "GG", "FF")], schema)
+    two = spark.createDataFrame([("b", None, "TT", "FF"), ("a", None, "CA", "FF")], schema)
+    index = spark.createDataFrame([("a", None, "ACGTN", "FFFFF"), ("c", None, "TTTTT", "FFFFF")], schema)
+    got = {(r["name"], r["seq1"], r["seq2"], r["barcode"]) for r in fastx.tripled(one, two, index).collect()}
+    assert got == {("a", "AC", "CA", "ACGTN"), ("b", "GG", "TT", None), ("c", None, None, "TTTTT")}
+
+
+def test_fastg_names_followers(spark, tmp_path):
+    (tmp_path / "g").write_text(">EDGE_1_length_4_cov_2.500:EDGE_2_length_3_cov_1.0',EDGE_1_length_4_cov_2.500;\nACGT\n>EDGE_2_length_3_cov_1.0';\nAAC\n")
+    got = {(r["edge"], r["is_rc"], r["length"], r["cov"], tuple(tuple(x) for x in r["follows"]), r["seq"]) for r in fastx.read_fastg(spark, str(tmp_path)).collect()}
+    assert got == {(1, False, 4, 2.5, ((2, True), (1, False)), "ACGT"), (2, True, 3, 1.0, (), "AAC")}
