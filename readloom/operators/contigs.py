@@ -95,3 +95,27 @@ def length_histogram(contigs: DataFrame, width: int = 10_000, bins: int = 35) ->
     """(bin, n): contigs per length bin, the last bin open."""
     c = distinct(contigs.select("edge_id", "seq_len"))
     return c.groupBy(F.least(F.floor(F.col("seq_len") / width), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def estimated_counts(contigs: DataFrame) -> DataFrame:
+    """(edge_id, n): coverage times the length with holes, rounded down: the count that a viewer shows for a contig; null
+    without coverage."""
+    c = with_coverage(contigs)
+    return c.select("edge_id", F.floor(F.col("cov") * F.col("full_len")).alias("n"))
+
+
+def neighbour_coverage(contigs: DataFrame, apart: float = 3.0, alike: float = 0.8) -> DataFrame:
+    """(e1, e2, too_different, similar): contigs that meet at a node, end to start: whether one has more than ``apart``
+    times the other's coverage, and whether the lesser has ``alike`` of the greater. Both need a coverage."""
+    c = with_coverage(contigs).filter("cov is not null").select("edge_id", "node_from", "node_to", "cov")
+    j = c.select(F.col("edge_id").alias("e1"), F.col("node_to").alias("node"), F.col("cov").alias("a")).join(c.select(F.col("edge_id").alias("e2"), F.col("node_from").alias("node"), F.col("cov").alias("b")), "node").filter("e1 <> e2")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return j.select("e1", "e2", (low * apart < high).alias("too_different"), (low >= alike * high).alias("similar"))
+
+
+def dead_ends(contigs: DataFrame) -> DataFrame:
+    """(edge_id, no_before, no_after): contigs that nothing comes before or nothing follows."""
+    e = distinct(contigs).select("edge_id", "node_from", "node_to")
+    ends, starts = e.select(F.col("node_to").alias("node_from"), F.lit(1).alias("b")).distinct(), e.select(F.col("node_from").alias("node_to"), F.lit(1).alias("a")).distinct()
+    j = e.join(ends, "node_from", "left").join(starts, "node_to", "left")
+    return j.filter("b is null or a is null").select("edge_id", F.col("b").isNull().alias("no_before"), F.col("a").isNull().alias("no_after"))

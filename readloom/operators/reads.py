@@ -62,6 +62,15 @@ def fastq_records(reads: DataFrame) -> DataFrame:
     return r.select("read_id", "mate", F.concat_ws("\n", head, "seq", F.lit("+"), qual).alias("record"))
 
 
+def tagged_records(reads: DataFrame) -> DataFrame:
+    """(read_id, mate, header): FASTQ headers with barcode tags made anew: BX with the 18 bases, QB with their qualities, F
+    where there are none of that length. Reads without a valid barcode or without a sequence have no record."""
+    r = clean(reads.select("read_id", "mate", "name", "info", "seq").filter("seq is not null"))
+    bx, qb = S.tag(F.col("info"), "BX"), S.tag(F.col("info"), "QB")
+    r = r.select("read_id", "mate", "name", bx.alias("bx"), qb.alias("qb")).filter(F.col("bx").rlike("^[ACGTN]{18}$"))
+    return r.select("read_id", "mate", F.concat(F.lit("@"), base_name(F.col("name")), F.lit(" BX:Z:"), "bx", F.lit(" QB:Z:"), F.when(F.length("qb") == 18, F.col("qb")).otherwise("F" * 18)).alias("header"))
+
+
 def mate_pairs(reads: DataFrame) -> DataFrame:
     """(read_id, len1, len2, same_name): first and second mates side by side; a missing mate leaves its side null."""
     r = clean(reads.select("read_id", "mate", "name", "seq")).groupBy("read_id").agg(

@@ -128,3 +128,20 @@ def adaptive_best(scored: DataFrame, part: float = 5.0) -> DataFrame:
     mean = scored.agg(F.avg("score").alias("mean"))  # one row
     best = both.groupBy("u").agg(F.max(F.struct("score", (-F.col("v")).alias("i"))).alias("m")).select("u", (-F.col("m.i")).alias("v"), "m.score")
     return best.join(F.broadcast(mean), F.col("score") >= F.col("mean") / part).select("u", "v", "score")
+
+
+def refined(placed: DataFrame, scored: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(scaffold, pos, edge_id, flipped): a contig between two others is turned to its other strand where the links
+    ``scored(v, u, n)`` to both neighbours are then stronger. Scaffolds are gone through in order and the one after a turned
+    contig stays, so of neighbours that would all turn the first, third and so on do."""
+    rc = twins(contigs)
+    order = Window.partitionBy("scaffold").orderBy("pos")
+    x = placed.withColumn("left", F.lag("edge_id").over(order)).withColumn("right", F.lead("edge_id").over(order)).join(rc, "edge_id", "left")
+    n = scored.groupBy("v", "u").agg(F.max("n").alias("n"))
+    for name, a, b in (("n1", "left", "edge_id"), ("n2", "edge_id", "right"), ("r1", "left", "rc_id"), ("r2", "rc_id", "right")):
+        x = x.join(n.select(F.col("v").alias(a), F.col("u").alias(b), F.col("n").alias(name)), [a, b], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    better = F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("rc_id").isNotNull() & (zero("r1") + zero("r2") > zero("n1") + zero("n2"))
+    x = x.withColumn("better", better).withColumn("run", F.row_number().over(order) - F.row_number().over(Window.partitionBy("scaffold", "better").orderBy("pos")))
+    turn = F.col("better") & (F.row_number().over(Window.partitionBy("scaffold", "better", "run").orderBy("pos")) % 2 == 1)
+    return x.select("scaffold", "pos", F.when(turn, F.col("rc_id")).otherwise(F.col("edge_id")).alias("edge_id"), turn.alias("flipped"))

@@ -88,6 +88,10 @@ QUERIES = {
     "cyclic_core": lambda s, d: graph.cyclic_core(_contigs(s, d)),
     "scaffold_paths": _scaffolds,
     "scaffold_summary": lambda s, d: scaffold.summary(_scaffolds(s, d), _contigs(s, d)),
+    "estimated_counts": lambda s, d: contigs.estimated_counts(_contigs(s, d)),
+    "neighbour_coverage": lambda s, d: contigs.neighbour_coverage(_contigs(s, d)),
+    "dead_ends": lambda s, d: contigs.dead_ends(_contigs(s, d)),
+    "scaffold_refined": lambda s, d: scaffold.refined(_scaffolds(s, d), links.mirrored(_links(s, d), _contigs(s, d)), _contigs(s, d)),
     "scaffold_cover": lambda s, d: scaffold.cover(_scaffolds(s, d), _contigs(s, d)),
     "scaffold_totals": lambda s, d: scaffold.totals(_scaffolds(s, d), _contigs(s, d)),
     "scaffold_marks": lambda s, d: scaffold.marks(_contigs(s, d)),
@@ -128,6 +132,9 @@ _CROSS = """w as (select * from e where cov is not null),
       from w join deg x on x.node = w.u and x.n_in = 2 and x.n_out = 1 join deg y on y.node = w.v and y.n_in = 1 and y.n_out = 2 join i on i.node = w.u and i.n = 2 join o on o.node = w.v and o.n = 2)"""
 
 SQL = {
+    "estimated_counts": f"with {_C} select edge_id, floor(cov * full_len)::bigint as n from e",
+    "neighbour_coverage": f"with {_C} select a.edge_id as e1, b.edge_id as e2, least(a.cov, b.cov) * 3::double < greatest(a.cov, b.cov) as too_different, least(a.cov, b.cov) >= 0.8::double * greatest(a.cov, b.cov) as similar from e a join e b on a.v = b.u and a.edge_id <> b.edge_id where a.cov is not null and b.cov is not null",
+    "dead_ends": f"with {_C}, q as (select edge_id, u not in (select v from e) as no_before, v not in (select u from e) as no_after from e) select * from q where no_before or no_after",
     "scaffold_cover": "select distinct least(edge_id, rc_id) as edge_id, 1::bigint as n from contigs where rc_id is not null",
     "scaffold_marks": f"with {_C}, {_UNIT} select distinct edge_id, coalesce(greatest(1, least(3, floor(cov / round(unit, 6) + 0.5))), 1)::int as copies from e left join unit using (graph)",
     "adaptive_best": f"""with {_PAIRS}, {_SCORE}, b2 as (select e1 as u, e2 as v, score from scored union all select e2, e1, score from scored), b3 as (select u, v, score from (select *, row_number() over (partition by u order by score desc, v) as k from b2) where k = 1)

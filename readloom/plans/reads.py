@@ -50,6 +50,8 @@ QUERIES = {
     "mate_kmer_match": lambda s, d: kmers.mate_match(_reads(s, d), SMALL_K),
     "unitigs": lambda s, d: unitigs.unitigs(_reads(s, d), K),
     "unitigs_45": lambda s, d: unitigs.unitigs(_reads(s, d), 45),
+    "unitigs_61": lambda s, d: unitigs.unitigs(_reads(s, d), 61),
+    "tagged_records": lambda s, d: reads.tagged_records(_reads(s, d)),
     "read_graph": lambda s, d: unitigs.read_graph(_reads(s, d), 45).drop("holes"),
     "read_graph_local": lambda s, d: unitigs.read_graph(_reads(s, d), 31).drop("holes"),
     "similar_reads": lambda s, d: alignment.similar_reads(_reads(s, d)),
@@ -146,6 +148,9 @@ SQL = {
       select read_id, sum(least(a, b))::bigint as matches from c group by 1 having sum(least(a, b)) > 0""",
     "unitigs": _unitigs(31),
     "unitigs_45": _unitigs(45),
+    "unitigs_61": _unitigs(61),
+    "tagged_records": """with r as (select distinct read_id, mate, name, info, seq from seq_reads where seq is not null and contains(info, 'BX:Z:')), t as (select *, regexp_extract(info, 'BX:Z:([^ \t]*)', 1) as bx, case when contains(info, 'QB:Z:') then regexp_extract(info, 'QB:Z:([^ \t]*)', 1) end as qb from r)
+      select read_id, mate, '@' || regexp_replace(name, '/[12]$', '') || ' BX:Z:' || bx || ' QB:Z:' || case when length(qb) = 18 then qb else repeat('F', 18) end as header from t where regexp_full_match(bx, '[ACGTN]{18}')""",
     "read_graph": "with recursive " + _graph(45) + " select * from g",
     "read_graph_local": "with recursive " + _graph(31) + " select * from g",
     "minimizers": f"""{_R}, x as (select read_id, mate, i as p, substr(upper(seq), i::int, 17) as km, length(seq) - 16 as n from r, unnest(range(1, greatest(1, length(seq) - 15))) t(i) where length(seq) >= 17),

@@ -4,7 +4,7 @@ import pytest
 from test_graph import frame, ids
 
 from readloom.functions import packed
-from readloom.operators import alignment, graph, links, mapping, paths, rewrite, unitigs
+from readloom.operators import alignment, graph, links, mapping, paths, rewrite, scaffold, unitigs
 
 REPEAT = [(1, 1, 3, 5000, 500_000), (2, 2, 3, 5000, 200_000), (3, 3, 4, 400, 60_000), (4, 4, 5, 5000, 500_000), (5, 4, 6, 5000, 200_000)]
 PIECES = "edge long, kind string, keys array<long>, cnts array<int>"
@@ -161,3 +161,12 @@ def test_parallel_contigs_that_align(spark):
     b = a[:100] + "T" + a[101:]
     df = spark.createDataFrame([(1, 7, 8, 300, a), (2, 7, 8, 300, b), (3, 7, 8, 300, genome(rng, 300)), (4, 7, 9, 300, a)], "edge_id long, node_from long, node_to long, seq_len int, seq string")
     assert rows(alignment.similar_parallel(df), "r1", "r2") == {(1, 2)}
+
+
+def test_scaffold_turns_every_other_contig(spark):
+    spec = [(i, 10 * i, 10 * i + 1, 1000, 1) for i in range(1, 6)]
+    placed = spark.createDataFrame([(2, p, 2 * i) for p, i in enumerate(range(1, 6))], "scaffold long, pos long, edge_id long")
+    scored = spark.createDataFrame([(2, 5, 9), (5, 6, 9), (4, 7, 5), (7, 8, 5), (2, 4, 1), (6, 8, 4)], "v long, u long, n long")
+    got = {r["pos"]: (r["edge_id"], r["flipped"]) for r in scaffold.refined(placed, scored, frame(spark, spec)).collect()}
+    assert got == {0: (2, False), 1: (5, True), 2: (6, False), 3: (8, False), 4: (10, False)}
+    assert scaffold.refined(placed.limit(0), scored, frame(spark, spec)).collect() == []
