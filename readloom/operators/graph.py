@@ -246,10 +246,10 @@ def simplify(contigs: DataFrame) -> DataFrame:
     now = cut(contigs.dropDuplicates())
     fed = cut(edges(now).select(F.col("v").alias("u")).distinct())
     while True:
-        e = edges(now)
+        e, reach = edges(now), downstream_reach(now, 251)
         weaker = e.join(bubbles(now), ["u", "v"]).filter("edge_id <> kept").select("edge_id")
-        cut_off = e.join(fed, "u", "left_semi").join(e.select(F.col("v").alias("u")), "u", "left_anti").join(downstream_reach(now).filter("reach <= 250"), "edge_id").select("edge_id")
-        gone = tips(now).unionByName(topological_tips(now)).unionByName(chimeric(now)).unionByName(weaker).unionByName(cut_off).distinct()
+        cut_off = e.join(fed, "u", "left_semi").join(e.select(F.col("v").alias("u")), "u", "left_anti").join(reach.filter("reach <= 250"), "edge_id").select("edge_id")
+        gone = tips(now).unionByName(topological_tips(now, reach=reach)).unionByName(chimeric(now)).unionByName(weaker).unionByName(cut_off).distinct()
         gone = cut(gone.unionByName(now.join(gone, "edge_id").filter("rc_id is not null").select(F.col("rc_id").alias("edge_id"))).distinct())
         if gone.isEmpty():
             break
@@ -303,25 +303,27 @@ def bulges(contigs: DataFrame, longest: int = 1000, low: float = 0.8, high: floa
 
 def downstream_reach(contigs: DataFrame, cap: int = 1000) -> DataFrame:
     """(edge_id, reach): the most bases that an edge and all that follow it span, overlaps taken off, at most ``cap``.
-    Small values mark dead ends that a look at one edge doesn't show. A ring goes on for ever, so what is on one or
-    between two has ``cap`` from the start; rounds go on until no reach changes. An edge no longer than k adds nothing."""
+    Small values mark dead ends that a look at one edge doesn't show. Rounds go on until no reach changes; if that takes
+    more than 16, edges on rings and between them get ``cap``, as a ring goes on for ever. An edge no longer than k adds
+    nothing."""
     top = F.lit(cap).cast("long")
-    core = cyclic_core(contigs).distinct().withColumn("core", F.lit(True))
-    e = edges(contigs).select("edge_id", "u", "v", F.greatest(F.lit(0), F.col("seq_len") - F.col("k")).cast("long").alias("own"))
-    e = cut(e.join(core, "edge_id", "left").withColumn("own", F.when(F.col("core"), top).otherwise(F.col("own"))).drop("core"))
+    e = cut(edges(contigs).select("edge_id", "u", "v", F.greatest(F.lit(0), F.col("seq_len") - F.col("k")).cast("long").alias("own")))
     reach = e.select("u", "v", "edge_id", "own", F.least(top, "own").alias("reach"))
-    last = None
+    last, rounds = None, 0
     while last != (last := reach.agg(F.sum("reach")).first()[0]):
+        if (rounds := rounds + 1) == 16:
+            core = cyclic_core(contigs).distinct().withColumn("core", F.lit(True))
+            e = cut(e.join(core, "edge_id", "left").withColumn("own", F.when(F.col("core"), top).otherwise(F.col("own"))).drop("core"))
         ahead = reach.groupBy(F.col("u").alias("v")).agg(F.max("reach").alias("more"))
         reach = cut(e.join(ahead, "v", "left").select("u", "v", "edge_id", "own", F.least(top, F.col("own") + F.coalesce("more", F.lit(0).cast("long"))).alias("reach")))
     return reach.select("edge_id", "reach")
 
 
-def topological_tips(contigs: DataFrame, longest: int = 250, ratio: float = 0.1) -> DataFrame:
+def topological_tips(contigs: DataFrame, longest: int = 250, ratio: float = 0.1, reach: DataFrame | None = None) -> DataFrame:
     """(edge_id): first edges of dead-end branches of any number of edges: what follows from the edge on spans at most
     ``longest`` bases while another edge of its start goes on for more, and its coverage is below ``ratio`` of the
     greatest one there. With the reverse complements, branches that come out of nowhere are found as well."""
-    r = downstream_reach(contigs)
+    r = downstream_reach(contigs, longest + 1) if reach is None else reach
     e = edges(contigs).select("edge_id", "u", "cov").join(r, "edge_id")
     best = e.groupBy("u").agg(F.max("reach").alias("far"), F.max("cov").alias("top"))
     return e.join(best, "u").filter((F.col("reach") <= longest) & (F.col("far") > longest) & (F.col("cov") < ratio * F.col("top"))).select("edge_id")
