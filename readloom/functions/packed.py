@@ -142,6 +142,18 @@ def without_first(hi: Column, lo: Column, k: int) -> tuple[Column, Column]:
     return hi.bitwiseAND(F.lit((1 << 2 * (k - 1 - LOW)) - 1)), lo
 
 
+def first_bases(hi: np.ndarray, lo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``without_last`` on arrays."""
+    return hi >> 2, (lo >> 2) | ((hi & 3) << (2 * (LOW - 1)) if k > LOW else 0)
+
+
+def last_bases(hi: np.ndarray, lo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``without_first`` on arrays."""
+    if k - 1 <= LOW:
+        return np.zeros_like(hi), lo & ((1 << 2 * (k - 1)) - 1)
+    return hi & ((1 << 2 * (k - 1 - LOW)) - 1), lo
+
+
 def minimizers(hi: np.ndarray, lo: np.ndarray, k: int, m: int = 15) -> np.ndarray:
     """The least hash of the m-mers of each packed k-mer. Neighbouring k-mers mostly have the same one."""
     m = min(m, k)
@@ -159,3 +171,161 @@ def minimizers(hi: np.ndarray, lo: np.ndarray, k: int, m: int = 15) -> np.ndarra
         x ^= x >> np.uint64(29)
         best = x if best is None else np.minimum(best, x)
     return best.view(np.int64)
+
+
+SLICE = 1 << 21  # bases of stretches that are turned into k-mers at once
+
+
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of the w values from each place on."""
+    size = 1
+    while size < w:
+        step = min(size, w - size)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        size += step
+    return x
+
+
+def _buckets(codes: np.ndarray, k: int, n: int, m: int = 15) -> np.ndarray:
+    """The bucket of the k-mer at each place: the least hash of its m-mers, the same on either strand."""
+    m = min(m, k)
+    bases = codes & 3
+    x = np.minimum(windows(bases, m)[1], windows(3 - bases[::-1], m)[1][::-1]).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return (_least(x, k - m + 1) >> np.uint64(20)) % np.uint64(n)
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + sizes[i] - 1 of all i."""
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+
+
+def _cut_up(codes: np.ndarray, k: int, n: int, joints: bool) -> tuple[np.ndarray, ...]:
+    """(bucket, start, length, before, after): stretches whose k-mers are in one bucket. With ``joints`` they take the
+    base before and the base after along, so that a stretch has each (k+1)-mer that starts or ends with one of its k-mers."""
+    none = np.zeros(0, np.int64)
+    if len(codes) < k:
+        return none, none, none, none, none
+    bad = np.r_[0, np.cumsum(codes > 3)]
+    ok = bad[k:] == bad[:-k]
+    b = np.where(ok, _buckets(codes, k, n).astype(np.int64), -1)
+    first = np.flatnonzero(np.r_[True, np.diff(b) != 0])
+    last = np.r_[first[1:], len(b)] - 1
+    before = ((first > 0) & ok[first - 1]).astype(np.int64) if joints else np.zeros(len(first), np.int64)
+    after = ((last + 1 < len(b)) & ok[np.minimum(last + 1, len(b) - 1)]).astype(np.int64) if joints else np.zeros(len(first), np.int64)
+    length = last - first + k + before + after
+    use = ok[first] & (length >= k + joints)
+    return b[first][use], (first - before)[use], length[use], before[use], after[use]
+
+
+def _two_bits(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches one after the other, four bases a byte, each filled up to a whole byte."""
+    padded = -(-length // 4) * 4
+    out = np.zeros(padded.sum(), np.uint8)
+    out[_flat(np.r_[0, np.cumsum(padded)[:-1]], length)] = codes[_flat(start, length)]
+    out = out.reshape(-1, 4)
+    return out[:, 0] << 6 | out[:, 1] << 4 | out[:, 2] << 2 | out[:, 3]
+
+
+def bucketed(k: int, n: int, joints: bool = False):
+    """An Arrow function from sequences to (bucket, bases, sizes): the stretches of each bucket in a batch, four bases a
+    byte; a size is 4 * length, 1 more with a base before its bucket's k-mers, 2 more with one after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = _CODE[np.frombuffer("-".join(s for s in batch.column("seq").to_pylist() if s).encode("latin-1", "replace"), np.uint8)]
+            b, start, length, before, after = _cut_up(codes, k, n, joints)
+            if not len(b):
+                continue
+            order = np.argsort(b, kind="stable")
+            b, start, length = b[order], start[order], length[order]
+            bases, sizes = _two_bits(codes, start, length), (4 * length + before[order] + 2 * after[order]).astype("<i4")
+            at = np.flatnonzero(np.r_[True, np.diff(b) != 0])
+            ends, byte = np.r_[at[1:], len(b)], np.r_[0, np.cumsum(-(-length // 4))]
+            yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([bases[byte[i] : byte[j]].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([sizes[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], ["bucket", "bases", "sizes"])
+
+    return run
+
+
+def bucketed_texts(k: int, n: int, keep: tuple[str, ...]):
+    """An Arrow function from rows (*keep, seq) to (*keep, bucket, at, piece): the stretches of a row by bucket, with their
+    place from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [s or "" for s in batch.column("seq").to_pylist()]
+            whole = "-".join(seqs) + "-"
+            b, start, length, _, _ = _cut_up(_CODE[np.frombuffer(whole.encode("latin-1", "replace"), np.uint8)], k, n, False)
+            starts = np.r_[0, np.cumsum([len(s) + 1 for s in seqs])]
+            row = np.searchsorted(starts, start, side="right") - 1
+            rows = batch.select(list(keep)).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(b), pa.array((start - starts[row]).astype(np.int32)), pa.array([whole[i : i + j] for i, j in zip(start, length)], pa.string())], [*keep, "bucket", "at", "piece"])
+
+    return run
+
+
+def _counts(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((lo, hi))
+    hi, lo, n, flags = hi[order], lo[order], n[order], flags[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(hi) != 0) | (np.diff(lo) != 0)])
+    return hi[first], lo[first], np.add.reduceat(n, first), flags[first]
+
+
+def bucket_counts(parts, k: int) -> tuple[np.ndarray, ...]:
+    """(hi, lo, n, flags) of the canonical k-mers in ``parts`` (bases, sizes) of one bucket; flags has 1 where the k-mer's
+    start, and 2 where its end, lies outside of the bucket. Counts are combined slice by slice."""
+    empty = np.zeros(0, np.int64)
+    done, waiting, size = (empty, empty, empty, empty), [], 0
+
+    def add() -> tuple[np.ndarray, ...]:
+        sizes = np.frombuffer(b"".join(s for _, s in waiting), "<i4").astype(np.int64)
+        packed = np.frombuffer(b"".join(b for b, _ in waiting), np.uint8)
+        codes = np.stack([packed >> 6, packed >> 4 & 3, packed >> 2 & 3, packed & 3], axis=1).ravel()
+        length = sizes >> 2
+        start, count = np.r_[0, np.cumsum(-(-length // 4) * 4)[:-1]], length - k + 1
+        at = _flat(start, count)
+        hi, lo = (x[at] for x in windows(codes, k))
+        rhi, rlo = (x[::-1][at] for x in windows(3 - codes[::-1], k))
+        flags, ends = np.zeros(len(at), np.int64), np.cumsum(count)
+        flags[ends - count] |= sizes & 1
+        flags[ends - 1] |= sizes & 2
+        swap = (rhi < hi) | ((rhi == hi) & (rlo < lo))
+        flags = np.where(swap, flags >> 1 | (flags & 1) << 1, flags)
+        new = (np.where(swap, rhi, hi), np.where(swap, rlo, lo), np.ones(len(at), np.int64), flags)
+        return _counts(*(np.r_[a, b] for a, b in zip(done, new)))
+
+    for bases, sizes in parts:
+        waiting.append((bases, sizes))
+        size += 4 * len(bases)
+        if size > SLICE:
+            done, waiting, size = add(), [], 0
+    return add() if waiting else done
+
+
+def found_in(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, want_hi: np.ndarray, want_lo: np.ndarray) -> np.ndarray:
+    """The n of each wanted k-mer, 0 where (hi, lo), sorted and distinct, doesn't have it."""
+    out = np.zeros(len(want_hi), np.int64)
+    if not len(hi) or not len(want_hi):
+        return out
+    order = np.lexsort((np.r_[np.zeros(len(hi), np.int8), np.ones(len(want_hi), np.int8)], np.r_[lo, want_lo], np.r_[hi, want_hi]))
+    mine = order < len(hi)
+    at = np.maximum.accumulate(np.where(mine, np.arange(len(order)), -1))  # the last own k-mer up to here
+    own = order[np.maximum(at, 0)]
+    asked = ~mine & (at >= 0)
+    which, own = order[asked] - len(hi), own[asked]
+    same = (hi[own] == want_hi[which]) & (lo[own] == want_lo[which])
+    out[which[same]] = n[own[same]]
+    return out
+
+
+def canonical_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of the canonical k-mer at each place of base codes below 4."""
+    hi, lo = windows(codes, k)
+    rhi, rlo = (x[::-1] for x in windows(3 - codes[::-1], k))
+    swap = (rhi < hi) | ((rhi == hi) & (rlo < lo))
+    return np.where(swap, rhi, hi), np.where(swap, rlo, lo)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return _CODE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shuffle_width
+from ..session import cut, shuffle_width, shuffled
 from .contigs import with_coverage
 
 
@@ -104,7 +104,7 @@ def list_positions(follows: DataFrame) -> DataFrame:
         # an open id's target is open, or it ended in this round or the one before, as both moved in step
         to = now.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("pos").alias("pos2"), F.col("low").alias("low2"), F.col("head").alias("head2"))
         far = done.select(F.col("id").alias("jump"), F.col("pos").alias("pos3"), F.col("head").alias("head3"))
-        step = open_ids.join(to, "jump", "left").join(far, "jump", "left")
+        step = open_ids.join(shuffled(to), "jump", "left").join(shuffled(far), "jump", "left")
         now = cut(step.select("id", F.col("jump2").alias("jump"), (F.col("pos") + F.coalesce("pos2", "pos3", F.lit(0))).alias("pos"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.coalesce("head2", "head3", "head").alias("head")))
     rings = open_ids.select("id", F.col("low").alias("head"), F.lit(-1).cast("long").alias("pos"), F.lit(True).alias("is_cycle"))
     return done.select("id", "head", "pos", F.lit(False).alias("is_cycle")).unionByName(rings)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packed
 from ..functions import sequence as S
+from ..session import shuffle_width
 from .reads import spread
 
 CAP = 999
@@ -29,6 +30,44 @@ def packed_counts(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
     return c.filter(F.col("n") >= least) if least > 1 else c
 
 
+def buckets(df: DataFrame) -> int:
+    """Buckets of stretches: several in a partition, so that one is small in memory."""
+    return 8 * shuffle_width(df.sparkSession)
+
+
+def stretches(reads: DataFrame, k: int, joints: bool = False) -> DataFrame:
+    """(bucket, bases, sizes): the reads cut into stretches by the minimizer of their k-mers (``packed.bucketed``). All that
+    is known of a k-mer meets in one bucket, and neighbours move together, as a few bytes instead of a row each."""
+    n = shuffle_width(reads.sparkSession)
+    return spread(reads).select("seq").mapInArrow(packed.bucketed(k, buckets(reads), joints), "bucket long, bases binary, sizes binary").repartition(n, "bucket")
+
+
+def _held(k: int, keep: tuple[str, ...]):
+    """Per bucket: how often the reads hold each k-mer of the pieces of texts."""
+
+    def run(_, reads, texts):
+        pieces, at = texts.column("piece").to_pylist(), texts.column("at").to_numpy()
+        size = np.array([len(p) - k + 1 for p in pieces], np.int64)
+        if not len(size):
+            return pa.table({**{c: pa.array([], pa.int64()) for c in keep}, "at": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+        known = packed.bucket_counts(zip(reads.column("bases").to_pylist(), reads.column("sizes").to_pylist()), k)[:3]
+        places = packed._flat(np.r_[0, np.cumsum(size + k - 1)[:-1]], size)
+        n = packed.found_in(*known, *(x[places] for x in packed.canonical_windows(packed.codes_of("".join(pieces)), k)))
+        row = np.repeat(np.arange(len(size)), size)
+        return pa.table({**{c: texts.column(c).to_numpy()[row] for c in keep}, "at": packed._flat(at, size).astype(np.int32), "n": n})
+
+    return run
+
+
+def held(reads: DataFrame, texts: DataFrame, k: int, *keep: str) -> DataFrame:
+    """(*keep, at, n): each k-mer of ``texts(*keep, seq)`` with its place from 0, and how often the reads hold it on either
+    strand. ``keep`` are integers."""
+    n = shuffle_width(reads.sparkSession)
+    kept = "".join(f"{c} long, " for c in keep)
+    t = texts.select(*keep, "seq").mapInArrow(packed.bucketed_texts(k, buckets(reads), keep), f"{kept}bucket long, at int, piece string").repartition(n, "bucket")
+    return stretches(reads, k).groupBy("bucket").cogroup(t.groupBy("bucket")).applyInArrow(_held(k, keep), f"{kept}at int, n long")
+
+
 def counts(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
     """(kmer, n): canonical k-mers that occur ``least`` times or more."""
     return packed_counts(reads, k, least).select(packed.text(F.col("hi"), F.col("lo"), k).alias("kmer"), "n")

@@ -68,8 +68,7 @@ def mapped_barcodes(on: DataFrame, read_rows: DataFrame) -> DataFrame:
 
 def edge_counts(read_rows: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     """(edge_id, cnt): how often the reads hold the (k+1)-mers of each contig, on either strand."""
-    c = kmers.packed_counts(read_rows, k + 1).mapInArrow(packed.both_strands(k + 1), "hi long, lo long, n long")
-    return edge_kmers(graph, k + 1).join(c, ["hi", "lo"], "left").groupBy("edge_id").agg(F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("cnt"))
+    return kmers.held(read_rows, graph, k + 1, "edge_id").groupBy("edge_id").agg(F.sum("n").alias("cnt"))
 
 
 def junctions(read_rows: DataFrame, graph: DataFrame, k: int, long_k: int) -> DataFrame:

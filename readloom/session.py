@@ -41,5 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that is never broadcast. Spark takes the rows of a column function, and of what is cut off
+    behind it, to be as many as the rows it reads; a read makes a hundred k-mers, so a table of those that Spark takes for
+    small enough to broadcast would fill the driver."""
+    return df.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

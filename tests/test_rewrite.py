@@ -170,3 +170,19 @@ def test_scaffold_turns_every_other_contig(spark):
     got = {r["pos"]: (r["edge_id"], r["flipped"]) for r in scaffold.refined(placed, scored, frame(spark, spec)).collect()}
     assert got == {0: (2, False), 1: (5, True), 2: (6, False), 3: (8, False), 4: (10, False)}
     assert scaffold.refined(placed.limit(0), scored, frame(spark, spec)).collect() == []
+
+
+def test_kmers_of_reads_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    t = genome(rng, 400)
+    df = spark.createDataFrame([(i, 1, t[i : i + 90]) for i in range(0, 300, 3)] * 2 + [(i, 2, t[i : i + 90]) for i in range(0, 300, 3)], "read_id long, mate int, seq string")
+    plans = []
+    cut = unitigs.cut
+    for m in (unitigs, graph):
+        monkeypatch.setattr(m, "cut", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or cut(x))
+    g = unitigs.read_graph(df, 45)
+    counted = mapping.edge_counts(df, g, 45)
+    assert {r["cnt"] for r in counted.collect()} == {r["cnt"] for r in g.collect()}
+    plans.append(counted._jdf.queryExecution().executedPlan().toString())
+    joins = [line for p in plans for line in p.split("\n") if "BroadcastHashJoin" in line and "_range" not in line]
+    assert not joins
