@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, shuffle_width
+
 LEVELS = ((200, None), (500, "L0"), (3000, "L1"))
 
 
@@ -22,15 +29,82 @@ def set_sizes(pieces: DataFrame) -> DataFrame:
     return members(pieces).groupBy("edge", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+AT_ONCE = 1 << 22  # pairs of edges with a barcode in common that a task looks at together
+IN_CELL = 1 << 20  # rows of a block of edges
+
+
+def _in_cells(least: int):
+    """Sorted rows (cell, side, edge, key) to (e1, e2, n): the barcodes that pairs of edges of both sides of a cell share,
+    counted for a few edges of one side at a time. In a cell of one block (side 2) both sides are the same."""
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, edge, key = (t.column(c).to_numpy() for c in ("side", "edge", "key"))
+        one, two = side != 1, side != 0
+        order = np.argsort(edge[one], kind="stable")
+        e1, k1 = edge[one][order], key[one][order]
+        order = np.argsort(key[two], kind="stable")
+        k2, (names, e2) = key[two][order], np.unique(edge[two][order], return_inverse=True)
+        start = np.searchsorted(k2, k1)
+        size = np.searchsorted(k2, k1, side="right") - start
+        first = np.flatnonzero(np.r_[True, np.diff(e1) != 0]) if len(e1) else np.zeros(0, np.int64)
+        upto = np.r_[0, np.cumsum(size)]
+        bounds, i = np.r_[first, len(e1)], 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(upto[bounds], upto[bounds[i]] + AT_ONCE, side="right")) - 1)
+            lo, hi = bounds[i], bounds[j]
+            s, places = size[lo:hi], start[lo:hi]
+            partner = e2[np.repeat(places - np.r_[0, np.cumsum(s)[:-1]], s) + np.arange(s.sum())]
+            code = np.sort(np.repeat(np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1])), s) * len(names) + partner)
+            at = np.flatnonzero(np.r_[True, np.diff(code) != 0]) if len(code) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[at, len(code)])
+            at, n = at[n >= least], n[n >= least]
+            a, b = e1[first[i:j]][code[at] // max(1, len(names))], names[code[at] % max(1, len(names))]
+            if side[0] == 2:
+                a, b, n = (x[a < b] for x in (a, b, n))
+            for k in range(0, len(a), 100_000):
+                x, y = a[k : k + 100_000], b[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[k : k + 100_000])], ["e1", "e2", "n"])
+            i = j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, now = [], None
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            at = np.flatnonzero(np.diff(cell) != 0) + 1
+            for i, j in zip(np.r_[0, at], np.r_[at, len(cell)]):
+                if i == j:
+                    continue
+                if cell[i] != now and waiting:
+                    yield from pairs(pa.Table.from_batches(waiting))
+                    waiting = []
+                now = cell[i]
+                waiting.append(batch.slice(i, j - i))
+        if waiting:
+            yield from pairs(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _counted_in_cells(shared: DataFrame, least: int, blocks: int) -> DataFrame:
+    """(e1, e2, n) by pairs of blocks of edges: a row goes to each cell of its block, pairs don't move."""
+    b, x = F.pmod(F.xxhash64("edge"), F.lit(blocks)), F.col("x")
+    rows = shared.select("edge", "key", b.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("x"))
+    cell = (F.least("b", x) * blocks + F.greatest("b", x)).alias("cell")
+    side = F.when(F.col("b") == x, 2).when(F.col("b") < x, 0).otherwise(1).cast("int").alias("side")
+    n = shuffle_width(shared.sparkSession)
+    return rows.select(cell, side, "edge", "key").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_in_cells(least), "e1 long, e2 long, n long")
+
+
 def shared_counts(m: DataFrame, least: int, block: int = 1000) -> DataFrame:
     """(e1, e2, n), e1 < e2: pairs of edges that share ``least`` barcodes or more, exactly counted.
 
     Barcodes are ordered from rare to common. A pair that shares ``least`` has one of them among the first
     n - least + 1 of both its edges, so only these are paired, and what pairs share of the commonest ones is counted at
     the pairs that met. The holders of a barcode are paired in blocks of about ``block``, so one that nearly all edges
-    hold is spread over many tasks. ``m`` has distinct (edge, key)."""
-    from ..session import cut
+    hold is spread over many tasks. ``m`` has distinct (edge, key).
 
+    Where that would move more pairs than there are rows of barcodes in all pairs of blocks of edges, those are moved, and
+    pairs are counted where they come up."""
     m = m.select("edge", "key")
     holders = m.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     order = Window.partitionBy("edge").orderBy("holders", "key")
@@ -38,6 +112,11 @@ def shared_counts(m: DataFrame, least: int, block: int = 1000) -> DataFrame:
     shared = cut(shared.filter(F.col("shared") >= least).withColumn("head", F.col("place") <= F.col("shared") - least + 1).withColumn("blocks", F.ceil(F.col("holders") / block).cast("int")))
     part, every = F.pmod(F.xxhash64("edge"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     head = shared.filter("head")
+    sizes = head.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("h")).agg(F.sum(F.expr("h * (h - 1) / 2"))).first()[0] or 0
+    rows = shared.count()
+    cells = max(math.ceil((8 * shuffle_width(m.sparkSession)) ** 0.5), -(-rows // IN_CELL))
+    if sizes * (2 * least - 1) > rows * cells:
+        return _counted_in_cells(shared.select("edge", "key"), least, cells)
     one = head.select("key", F.col("edge").alias("e1"), part.alias("b1"), every.alias("b2"))
     two = head.select("key", F.col("edge").alias("e2"), part.alias("b2"), every.alias("b1"))
     met = one.join(two, ["key", "b1", "b2"]).filter("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))

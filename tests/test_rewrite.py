@@ -186,3 +186,16 @@ def test_kmers_of_reads_are_not_broadcast(spark, monkeypatch):
     plans.append(counted._jdf.queryExecution().executedPlan().toString())
     joins = [line for p in plans for line in p.split("\n") if "BroadcastHashJoin" in line and "_range" not in line]
     assert not joins
+
+
+def test_common_barcodes_move_rows_instead_of_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    of = {e * 7: {rng.randrange(12) for _ in range(9)} | {rng.randrange(10**6) for _ in range(3)} for e in range(-40, 260)}
+    m = spark.createDataFrame([(e, k) for e, s in of.items() for k in s], "edge long, key long")
+    edges = sorted(of)
+    for least in (1, 2, 5):
+        for at_once in (50, 1 << 22):
+            monkeypatch.setattr(links, "AT_ONCE", at_once)
+            df = links.shared_counts(m, least)
+            assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+            assert rows(df, "e1", "e2", "n") == {(a, b, len(of[a] & of[b])) for i, a in enumerate(edges) for b in edges[i + 1 :] if len(of[a] & of[b]) >= least}
