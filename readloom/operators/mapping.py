@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packed
 from ..functions import sequence as S
+from ..session import shuffled
 from . import kmers, reads
 
 SEED = 31
@@ -76,10 +77,8 @@ def junctions(read_rows: DataFrame, graph: DataFrame, k: int, long_k: int) -> Da
     into both, how many of them no read holds, and the longest run of those."""
     a = graph.select(F.col("edge_id").alias("e1"), F.col("node_to").alias("node"), F.expr(f"right(seq, {long_k - 1})").alias("s1"))
     b = graph.select(F.col("edge_id").alias("e2"), F.col("node_from").alias("node"), F.expr(f"substring(seq, {k + 1}, {long_k - k - 1})").alias("s2"))
-    j = a.join(b, "node").select("e1", "e2", F.concat("s1", "s2").alias("seq"))
-    w = j.mapInArrow(packed.placed(long_k, ("e1", "e2")), "e1 long, e2 long, at int, hi long, lo long")
-    c = kmers.packed_counts(read_rows, long_k).mapInArrow(packed.both_strands(long_k), "hi long, lo long, n long")
-    w = w.join(c, ["hi", "lo"], "left").select("e1", "e2", "at", F.col("n").isNull().alias("gone"))
+    j = a.join(shuffled(b), "node").select("e1", "e2", F.concat("s1", "s2").alias("seq"))
+    w = kmers.held(read_rows, j, long_k, "e1", "e2").select("e1", "e2", "at", (F.col("n") == 0).alias("gone"))
     run = F.col("at") - F.row_number().over(Window.partitionBy("e1", "e2", "gone").orderBy("at"))
     islands = w.withColumn("run", run).groupBy("e1", "e2", "gone", "run").agg(F.count(F.lit(1)).alias("c"))
     return islands.groupBy("e1", "e2").agg(F.sum("c").alias("n_kmers"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("c"))), F.lit(0).cast("long")).alias("n_missing"), F.coalesce(F.max(F.when(F.col("gone"), F.col("c"))), F.lit(0).cast("long")).alias("longest"))

@@ -199,3 +199,17 @@ def test_common_barcodes_move_rows_instead_of_pairs(spark, monkeypatch):
             df = links.shared_counts(m, least)
             assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
             assert rows(df, "e1", "e2", "n") == {(a, b, len(of[a] & of[b])) for i, a in enumerate(edges) for b in edges[i + 1 :] if len(of[a] & of[b]) >= least}
+
+
+def test_junctions_do_not_broadcast_kmers(spark):
+    rng = random.Random(8)
+    mid, t = genome(rng, 60), [genome(rng, 100) for _ in range(4)]
+    seqs = [w for x in (t[0] + mid + t[1], t[2] + mid + t[3]) for w in [x[i : i + 90] for i in range(0, 171, 10)]]
+    df = spark.createDataFrame([(i, 1, s) for i, s in enumerate(seqs)], "read_id long, mate int, seq string")
+    edges = [(2, 1, 5, t[0] + mid[:31]), (4, 5, 6, mid[:31] + t[1]), (6, 5, 7, mid + t[3])]
+    g = spark.createDataFrame(edges, "edge_id long, node_from long, node_to long, seq string")
+    df2 = mapping.junctions(df, g, 31, 45)
+    assert "BroadcastHashJoin" not in df2._jdf.queryExecution().executedPlan().toString()
+    held = {w for s in seqs for i in range(46) for w in (s[i : i + 45], s[i : i + 45][::-1].translate(str.maketrans("ACGT", "TGCA")))}
+    want = {(2, e, 13, sum((edges[0][3][-44:] + s[31:44])[i : i + 45] not in held for i in range(13))) for e, _, _, s in edges[1:]}
+    assert rows(df2, "e1", "e2", "n_kmers", "n_missing") == want
