@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packed
 from ..functions import sequence as S
-from ..session import shuffled
+from ..session import cut, shuffle_width, shuffled
 from . import kmers, reads
 
 SEED = 31
@@ -84,14 +84,43 @@ def junctions(read_rows: DataFrame, graph: DataFrame, k: int, long_k: int) -> Da
     return islands.groupBy("e1", "e2").agg(F.sum("c").alias("n_kmers"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("c"))), F.lit(0).cast("long")).alias("n_missing"), F.coalesce(F.max(F.when(F.col("gone"), F.col("c"))), F.lit(0).cast("long")).alias("longest"))
 
 
+READS_OF_BLOCK, SETS_OF_BLOCK = 1 << 10, 1 << 12  # of one barcode
+OF_TASK = 1 << 24  # rows of the result that a task makes
+FEW = 200_000  # contigs or barcodes, counted before they are broadcast
+
+
 def reads_of_pairs(read_rows: DataFrame, pairs: DataFrame, members: DataFrame, both: bool = False) -> DataFrame:
-    """(e1, e2, read_id, mate, seq, qual): the reads themselves of ``reads.local_reads``, for a local assembly. A barcode's
-    sets meet its reads by a join, which adaptive execution splits where a barcode has very many."""
-    r = reads.clean(read_rows.select("read_id", "mate", "info", "seq", "qual")).withColumn("bx", S.tag(F.col("info"), "BX"))
-    r = r.filter(F.length("bx") == 18).withColumn("key", S.base5(F.col("bx"))).filter("key is not null").select("key", "read_id", "mate", "seq", "qual")
+    """(e1, e2, read_id, mate, seq, qual): the reads themselves of ``reads.local_reads``, for a local assembly.
+
+    A barcode that very many reads and pairs have makes their product. Its reads and its pairs meet in blocks, so many
+    tasks share it, and reads that no pair asks for don't gather in one. Each read meets the list of a block's pairs: equal
+    values follow one another, and a columnar file of the result stays small."""
+    bx = S.tag(F.col("info"), "BX")
+    r = read_rows.select("read_id", "mate", "info", "seq", "qual").filter(bx.rlike(r"^[ACGTN]{18}\z")).withColumn("key", S.base5(bx))
+    pairs = cut(pairs.select("e1", "e2"))
+    if 2 * pairs.count() <= FEW:
+        members = members.join(F.broadcast(pairs.select(F.explode(F.array("e1", "e2")).alias("edge"))), "edge", "left_semi")
     m = members.select("edge", "key").distinct()
     sets = pairs.select("e1", "e2", F.explode(F.array("e1", "e2")).alias("edge")).join(m, "edge").groupBy("e1", "e2", "key").agg(F.count(F.lit(1)).alias("ends"))
-    return (sets.filter("ends = 2") if both else sets).join(r, "key").select("e1", "e2", "read_id", "mate", "seq", "qual")
+    sets = cut((sets.filter("ends = 2") if both else sets).select("e1", "e2", "key"))
+    per = r.groupBy("key").agg(F.count(F.lit(1)).alias("n_r")).join(shuffled(sets.groupBy("key").agg(F.count(F.lit(1)).alias("n_s"))), "key", "full").na.fill(0)
+    met, hot = (F.col("n_r") > 0) & (F.col("n_s") > 0), (F.col("n_r") > READS_OF_BLOCK) | (F.col("n_s") > SETS_OF_BLOCK)
+    per = cut(per.filter(met | hot))
+    made, n_met, n_hot = per.agg(F.sum(F.col("n_r").cast("double") * F.col("n_s")), F.count_if(met), F.count_if(hot)).first()
+    blocks = per.filter(met if n_met <= FEW else hot).select("key", F.ceil(F.col("n_r") / READS_OF_BLOCK).cast("int").alias("of_r"), F.ceil(F.col("n_s") / SETS_OF_BLOCK).cast("int").alias("of_s"))
+    blocks, how = F.broadcast(blocks) if min(n_met, n_hot) <= FEW else blocks, "inner" if n_met <= FEW else "left"
+
+    def in_blocks(rows: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+        """Each row in a block of its own side, once for each block of the other side."""
+        n = F.coalesce(other, F.lit(1))
+        every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return rows.join(blocks, "key", how).select(*rows.columns, F.pmod(F.xxhash64(*by), F.coalesce(own, F.lit(1))).cast("int").alias(own), F.explode(every).alias(other))
+
+    at = ["key", "of_r", "of_s"]
+    n = max(shuffle_width(read_rows.sparkSession), int((made or 0) // OF_TASK) + 1)
+    r = reads.clean(in_blocks(r, "of_r", "of_s", "read_id", "mate").repartition(n, *at))
+    sets = in_blocks(sets, "of_s", "of_r", "e1", "e2").repartition(n, *at).groupBy(*at).agg(F.collect_list(F.struct("e1", "e2")).alias("of"))
+    return r.join(shuffled(sets), at).select(F.inline("of"), "read_id", "mate", "seq", "qual")
 
 
 def spliced(pairs: DataFrame, k: int, gap: int, fill: str, trim: int) -> DataFrame:

@@ -28,7 +28,7 @@ def _mates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return links.mutual_best(_shared(s, d)), links.members(_sets(s, d), "L1")
+    return links.mutual_best(cut(_shared(s, d))), links.members(_sets(s, d), "L1")
 
 
 QUERIES = {

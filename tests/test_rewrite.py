@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_graph import frame, ids
 
 from readloom.functions import packed
@@ -213,3 +215,25 @@ def test_junctions_do_not_broadcast_kmers(spark):
     held = {w for s in seqs for i in range(46) for w in (s[i : i + 45], s[i : i + 45][::-1].translate(str.maketrans("ACGT", "TGCA")))}
     want = {(2, e, 13, sum((edges[0][3][-44:] + s[31:44])[i : i + 45] not in held for i in range(13))) for e, _, _, s in edges[1:]}
     assert rows(df2, "e1", "e2", "n_kmers", "n_missing") == want
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_reads_of_a_common_barcode_are_spread_and_stay_together(spark, monkeypatch, few):
+    for name, value in (("READS_OF_BLOCK", 32), ("SETS_OF_BLOCK", 16), ("FEW", few)):
+        monkeypatch.setattr(mapping, name, value, raising=False)
+    rng = random.Random(9)
+    hot, rare, absent, of_none = (genome(rng, 18) for _ in range(4))
+    code = lambda t: int("".join(str("ACGTN".index(c)) for c in t), 5)
+    reads = [(i, 1 + i % 2, f"BX:Z:{b}\tQB:Z:FFF", genome(rng, 40), "F" * 40) for i, b in enumerate([hot] * 300 + [rare] * 5 + [absent] * 200)]
+    reads += [(7, 2, f"BX:Z:{hot}", *reads[7][3:]), (900, 1, "", "ACGT", "FFFF"), (901, 1, f"BX:Z:{hot[:17]}", None, None), (902, 1, f"BX:Z:{hot}", None, None)]
+    df = spark.createDataFrame(reads + reads[::9], "read_id long, mate int, info string, seq string, qual string")
+    pairs = [(2 * i, 2 * i + 1) for i in range(60)]
+    members = [(e, code(hot)) for e, _ in pairs] + [(0, code(rare)), (1, code(rare)), (3, code(of_none)), (500, code(absent))]
+    args = df, spark.createDataFrame(pairs, "e1 long, e2 long"), spark.createDataFrame(members * 2, "edge long, key long")
+    want = [(*p, r[0], r[1], *r[3:]) for r in reads for p in pairs if any(f"BX:Z:{b}" in r[2] for b in ([hot, rare] if p[0] == 0 else [hot]))]
+    got = mapping.reads_of_pairs(*args).withColumn("part", F.spark_partition_id()).collect()
+    assert Counter(tuple(r)[:6] for r in got) == Counter(want)
+    assert max(Counter(r["part"] for r in got).values()) < 0.6 * len(got)
+    assert sum(a["read_id"] != b["read_id"] for a, b in zip(got, got[1:])) < 5 * len(reads)
+    both = mapping.reads_of_pairs(*args, both=True)
+    assert rows(both, "e1", "e2", "read_id") == {(0, 1, i) for i in range(300, 305)}
